@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, mixing, sharding
+from . import decontaminate, language_id, mixing, near_dup, sharding
 from .common import table
 
 
@@ -25,5 +25,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_mixing, op5_decontamination, op8_sharding)}
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_mixing, op5_decontamination, op8_sharding, op9_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
