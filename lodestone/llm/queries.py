@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, language_id, mixing, near_dup, sharding, url_filter
+from . import brown_lm, decontaminate, html_text, language_id, mixing, near_dup, sharding, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_mixing, op5_decontamination, op6_html_extraction, op8_sharding, op9_near_dup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_mixing, op5_decontamination, op6_html_extraction, op7_lm_scoring, op8_sharding, op9_near_dup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
