@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .textbytes import Words, pieces, text_bytes, words
 
@@ -81,20 +81,20 @@ class Segment:
         terms = sorted(set(terms), key=lambda t: self.df[t])
         reach = len(terms) + slop - 1
         found = np.zeros(0, np.int64)
-        anchor = self.positions(terms[0])
+        rare = np.unique(self.row(self.positions(terms[0])))
         # The span starts at one of the terms: try each start and ask that every other term follows in reach.
         for first in terms:
             start = self.positions(first)
-            start = start[np.isin(self.row(start), self.row(anchor))]
+            start = start[np.isin(self.row(start), rare)]
             for other in terms:
-                if other != first:
-                    nxt = np.searchsorted(self.postings, (other << _POSITION) | start)
-                    key = self.postings[np.minimum(nxt, len(self.postings) - 1)]
-                    start = start[(nxt < self.bound[other + 1]) & ((key & ((1 << _POSITION) - 1)) <= start + reach)]
-            rows = self.row(start)
-            whole = start + 0
-            found = np.union1d(found, rows[whole >= self.first[rows]])
-        return found
+                if other != first and len(start):
+                    at = np.searchsorted(self.postings, (other << _POSITION) | start)
+                    after = self.postings[np.minimum(at, len(self.postings) - 1)] & ((1 << _POSITION) - 1)
+                    # A position past the row's end belongs to another row.
+                    within = (at < self.bound[other + 1]) & (after <= start + reach) & (after < self.first[self.row(start) + 1])
+                    start = start[within]
+            found = np.union1d(found, self.row(start))
+        return found.astype(np.int64)
 
 
 @dataclass
@@ -141,11 +141,12 @@ def phrase_hits(docs: DataFrame, block: Block, *, keep: list[str], text: str = "
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, *T._parse_datatype_string("n_words bigint, hit_from array<bigint>, hit_to array<bigint>, items array<string>")])
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    source = text if text in keep else "_text"
 
     def search(batches):
         b = shared.value
         for batch in batches:
-            for part, data, offsets in pieces(batch, "_text"):
+            for part, data, offsets in pieces(batch, source):
                 w = words(data, offsets)
                 segment = Segment(w, b.vocabulary)
                 n = part.num_rows
@@ -169,7 +170,34 @@ def phrase_hits(docs: DataFrame, block: Block, *, keep: list[str], text: str = "
                 lists.append(pa.ListArray.from_arrays(pa.array(found, pa.int32()), names))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(np.diff(w.first)), *lists], schema.names)
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(search, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(search, schema)
+
+
+def proximity_hits(docs: DataFrame, queries: list[list[str]], *, slop: int, text: str = "text") -> DataFrame:
+    """(doc_id, query): documents that hold all words of a query, in any order, within a span of ``slop`` words more than it has."""
+    asked = [words(*text_bytes(pa.array([" ".join(q)]))).hash for q in queries]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *asked]))
+    terms = [np.searchsorted(vocabulary, q).tolist() for q in asked]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def search(batches):
+        for batch in batches:
+            for part, data, offsets in pieces(batch, "_text"):
+                segment = Segment(words(data, offsets), vocabulary)
+                for number, own in enumerate(terms):
+                    rows = segment.near(own, slop) if own else np.zeros(0, np.int64)
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), number, np.int32))], ["doc_id", "query"])
+
+    return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(search, f"doc_id {kind}, query int")
+
+
+def hit_words() -> Column:
+    return F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def verdict(n_hit: Column, n_words: Column, share: int) -> Column:
+    return (n_hit > 0) & (n_hit * share >= n_words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, block_words: int = 200_000) -> DataFrame:
@@ -179,8 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
     parts = list(blocks(benchmark, window, block_words)) or [Block(np.zeros(0, np.uint64), [], [], [])]
     if len(parts) == 1:
         found = phrase_hits(own, parts[0], keep=["doc_id"])
-        n_hit = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
-        found = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"))
+        found = found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.array_sort("items").alias("items"))
     else:
         # Runs of several blocks may overlap: mark words, so that each counts once.
         keyed = own.withColumn("_key", F.sha2("text", 256))
@@ -196,4 +223,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
         merged = counts.join(merged, "_key", "left")
         none = F.array().cast("array<string>")
         found = keyed.select("doc_id", "_key").join(merged, "_key", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    return found.withColumn("contaminated", verdict(F.col("n_hit"), F.col("n_words"), share))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, block_words: int = 200_000) -> DataFrame:
+    """The rows of docs (all columns) that are not contaminated; one pass without a shuffle for one block of phrases."""
+    parts = list(blocks(benchmark, window, block_words))
+    if not parts:
+        return docs
+    if len(parts) > 1:
+        bad = decontaminate(docs, benchmark, window=window, share=share, block_words=block_words).where("contaminated").select("doc_id").distinct()
+        return docs.join(bad, "doc_id", "left_anti")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = f"c{names.index('text')}"
+    found = phrase_hits(plain, parts[0], keep=plain.columns, text=at)
+    return found.where(~verdict(hit_words(), F.col("n_words"), share)).select(*plain.columns).toDF(*names)

@@ -166,13 +166,14 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = keep.index(text) if text in keep else len(keep)
 
     def judge(batches):
         for batch in batches:
-            names, score, n = shared.value.predict(batch.column(len(keep)).to_pylist())
+            names, score, n = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score), pa.array(n.astype(np.int64))], schema.names)
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(judge, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(judge, schema)
 
 
 def language_id(docs: DataFrame, *, fold_count: int = 3, held: int = 1, **options) -> DataFrame:
