@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest vertex of the component of each of ``n`` vertices, for edges in one task."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of ``edges`` (a, b): the smallest id that it reaches.
 

@@ -1,6 +1,6 @@
 """MinHash near-dedup by improved consistent weighted sampling (ICWS).
 
-A text is a bag of five-word shingles weighted by TF times a clipped IDF. ICWS
+A text is a bag of five-word shingles weighted by 1 + ln TF times a clipped IDF. ICWS
 draws (shingle, level) samples so that two texts agree on a draw with the
 probability of their weighted Jaccard similarity; bands of draws give candidate
 pairs, and each candidate is verified by the exact weighted Jaccard similarity
@@ -15,10 +15,11 @@ report what reaches a quarter of the share, which gives the candidates; a second
 pass counts those over all documents.
 
 Equal texts are one candidate, whatever their number. A bucket of at most
-``small`` texts is compared in full; a larger one is cut into such parts by a
-hash of the id, and then, round after round, the text with most verified links
-that has not led its bucket yet is compared with every text of another
-component, until a round links nothing new.
+``small`` texts is compared pair by pair, leaving out pairs whose samples agree
+too rarely. In a larger bucket every text is compared with one leader; buckets
+whose texts are then still in several components are compared in full, in pairs
+of blocks: the weighted overlap of all texts of two blocks is a product of two
+matrices, and a block reports a spanning forest of its links, never the pairs.
 
 Defined results: equal texts share a class, wordless ones too; null and empty
 texts are classes of their own. Texts of fewer than five words are one shingle
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
-from .components import components
+from .components import components, forest
 from .textbytes import mix, pieces, shingles, text_bytes, words
 
 _LOW = np.uint64((1 << 48) - 1)
@@ -60,7 +61,7 @@ def weights(key: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarra
         h = key & _LOW
         at = np.minimum(np.searchsorted(shingle, h), len(shingle) - 1)
         out = np.where(shingle[at] == h, idf[at], out)
-    return out * tf
+    return out * (1 + np.log(tf))
 
 
 def _quantiles() -> list[np.ndarray]:
@@ -184,18 +185,18 @@ def _agree(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (sig[a] == sig[b]).sum(1)
 
 
-def _near_in_parts(parts: DataFrame, draws: int, least: int) -> DataFrame:
-    """Pairs of one part (bucket, salt) whose samples agree in at least ``least`` draws."""
+def _near_in_buckets(member: DataFrame, draws: int, least: int) -> DataFrame:
+    """Pairs of one bucket whose samples agree in at least ``least`` draws."""
 
     def compare(batches):
         rest = None
 
         def pairs(t: pa.Table):
-            bucket, salt, ids = (t.column(c).to_numpy() for c in ("bucket", "salt", "id"))
+            bucket, ids = t.column("bucket").to_numpy(), t.column("id").to_numpy()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, draws)
             found, lag = [np.zeros((0, 2), np.int64)], 1
             while lag < len(ids):
-                at = np.flatnonzero((bucket[lag:] == bucket[:-lag]) & (salt[lag:] == salt[:-lag]))
+                at = np.flatnonzero(bucket[lag:] == bucket[:-lag])
                 if not len(at):
                     break
                 at = at[_agree(sig, at, at + lag) >= least]
@@ -209,15 +210,58 @@ def _near_in_parts(parts: DataFrame, draws: int, least: int) -> DataFrame:
             t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
             if not t.num_rows:
                 continue
-            bucket, salt = t.column("bucket").to_numpy(), t.column("salt").to_numpy()
-            last = int(np.searchsorted((bucket == bucket[-1]) & (salt == salt[-1]), True)) if t.num_rows else 0
+            bucket = t.column("bucket").to_numpy()
+            last = int(np.searchsorted(bucket == bucket[-1], True))
             yield pairs(t.slice(0, last))
             rest = t.slice(last)
         if rest is not None:
             yield pairs(rest)
 
-    ordered = parts.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id")
-    return ordered.select("bucket", "salt", "id", "sig").mapInArrow(compare, "a bigint, b bigint")
+    ordered = member.repartition("bucket").sortWithinPartitions("bucket", "id")
+    return ordered.select("bucket", "id", "sig").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _near_in_blocks(state: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], *, threshold: float, k: int, block: int) -> DataFrame:
+    """Links (a, b) that join the components of each bucket of ``state`` (bucket, id, n, component), by exact similarity of all its pairs."""
+    shared = state.sparkSession.sparkContext.broadcast(common)
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(23), "id"), parts).cast("int")
+    rows = state.join(texts.hint("merge"), "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, group, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        key, tf = bag(*text_bytes(table.column("text")), k)
+        row, h = (key >> np.uint64(48)).astype(np.int64), key & _LOW
+        idf = weights(key, np.ones(len(key)), shared.value)
+        total = np.bincount(row, idf * (1 + np.log(tf)), len(ids))
+        # min(1 + ln x, 1 + ln y) is a sum over levels that both reach, so each (shingle, level) is a column.
+        at = np.repeat(np.arange(len(key)), tf)
+        level = np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+        step = np.where(level > 1, np.log(level) - np.log(np.maximum(level - 1, 1)), 1.0)
+        _, column, times = np.unique(mix(h[at] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+        both = times[column] > 1
+        number = np.cumsum(times > 1) - 1
+        column, r, value = number[column[both]], row[at[both]], np.sqrt(idf[at[both]] * step[both])
+        order = np.argsort(column, kind="stable")
+        column, r, value = column[order], r[order], value[order]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        low, width = np.zeros((len(left), len(right))), 4096
+        edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+        for n, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            dense = np.zeros((len(ids), width))
+            dense[r[i:j], column[i:j] - n * width] = value[i:j]
+            low += dense[left] @ dense[right].T
+        near = low >= threshold * (total[left][:, None] + total[right][None, :] - low) - 1e-9
+        a, b = np.nonzero(near & (group[left][:, None] != group[right][None, :]))
+        known, place = np.unique(group, return_inverse=True)
+        root = forest(place[left[a]], place[right[b]], len(known))
+        live = np.flatnonzero(root != np.arange(len(known)))
+        return pa.table([pa.array(known[live]), pa.array(known[root[live]])], ["a", "b"])
+
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
 
 
 def similarity(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], *, k: int) -> DataFrame:
@@ -225,7 +269,7 @@ def similarity(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.
     shared = pairs.sparkSession.sparkContext.broadcast(common)
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
+    both = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def judge(batches):
         for batch in batches:
@@ -244,8 +288,8 @@ def similarity(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.
     return both.mapInArrow(judge, "a bigint, b bigint, j double")
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, bands: int = 14, rows: int = 3, common: float = 0.02, small: int = 16) -> DataFrame:
-    """One row a document: doc_id, text_id (its text's smallest doc_id), n_links (other texts linked directly), class_id, kept."""
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, bands: int = 14, rows: int = 3, common: float = 0.02, small: int = 16, block: int = 512) -> DataFrame:
+    """One row a document: doc_id, text_id (its text's smallest doc_id), n_links (links of its text that were needed), class_id, kept."""
     draws, least = bands * rows, math.floor(bands * rows * (threshold - 0.3))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = common_shingles(own, common=common, k=k)
@@ -255,34 +299,25 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, band
     band = reps.where(F.size("band") > 0).select("id", F.explode("band").alias("bucket"))
     sizes = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stage(band.join(sizes, "bucket").select("bucket", "id", "n"), "members")
-    # Parts are powers of two, so that the same texts meet in every band.
-    parts = F.when(F.col("n") <= small, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / (small / 2)))).cast("long"))
-    part = member.withColumn("salt", F.pmod(F.xxhash64(F.lit(23), "id"), parts)).join(reps.select("id", "sig"), "id")
-    pairs = stage(_near_in_parts(part, draws, least).distinct(), "pairs")
-    involved = member.select("id").distinct()
-    texts = stage(own.select(F.col("doc_id").alias("id"), "text").join(involved, "id").join(reps.select("id", "key"), "id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("key")).groupBy("id").agg(F.any_value("text").alias("text")), "involved")
-    links = stage(similarity(pairs, texts, idf, k=k).where(F.col("j") >= threshold), "links")
+    small_member = member.where(F.col("n") <= small).join(reps.select("id", "sig"), "id")
+    pairs = _near_in_buckets(small_member, draws, least)
+    large = member.where(F.col("n") > small)
+    lead = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(29), "id").alias("h"), "id")).alias("s")).select("bucket", F.col("s.id").alias("lead"))
+    star = large.join(lead, "bucket").where("id != lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    pairs = stage(pairs.union(star).distinct(), "pairs")
+    involved = member.select("id").distinct().hint("merge")
+    named = own.select(F.col("doc_id").alias("id"), "text").join(involved, "id").join(reps.select("id", "key"), "id")
+    texts = stage(named.where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("key")).select("id", "text").dropDuplicates(["id"]), "involved")
+    links = stage(similarity(pairs, texts, idf, k=k).where(F.col("j") >= threshold).select("a", "b"), "links")
     group = components(links)
-    large = stage(member.where(F.col("n") > small).select("bucket", "id"), "large")
-    used = None
-    if large.limit(1).count():
-        while True:
-            degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
-            state = large.join(degree, "id", "left").join(group, "id", "left").select("bucket", "id", F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce("component", "id").alias("component"))
-            state = stage(state, "state")
-            free = state if used is None else state.join(used, ["bucket", "id"], "left_anti")
-            split = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-            lead = free.join(split, "bucket", "left_semi").groupBy("bucket").agg(F.max(F.struct("deg", F.xxhash64(F.lit(29), "id").alias("h"), "id", "component")).alias("s"))
-            lead = stage(lead.select("bucket", F.col("s.id").alias("lead"), F.col("s.component").alias("lc")), "lead")
-            fresh = state.join(lead, "bucket").where(F.col("component") != F.col("lc")).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-            fresh = stage(fresh.join(pairs, ["a", "b"], "left_anti"), "fresh")
-            more = stage(similarity(fresh, texts, idf, k=k).where(F.col("j") >= threshold), "more")
-            if not more.limit(1).count():
-                break
-            pairs, links = pairs.unionByName(fresh), links.unionByName(more)
+    state = large.join(group, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    split = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    state = stage(state.join(split, "bucket", "left_semi"), "state")
+    if state.limit(1).count():
+        more = stage(_near_in_blocks(state, texts, idf, threshold=threshold, k=k, block=block).distinct(), "more")
+        if more.limit(1).count():
+            links = links.unionByName(more)
             group = components(links)
-            lead = lead.select("bucket", F.col("lead").alias("id"))
-            used = lead if used is None else used.unionByName(lead)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("key", "id").join(group, "id", "left").join(degree, "id", "left").select("key", F.col("id").alias("text_id"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = drawn.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))

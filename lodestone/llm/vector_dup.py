@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
-from .components import components
+from .components import components, forest
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarray:
@@ -86,22 +86,6 @@ class Quantiser:
         return np.einsum("qmw,mkw->mkq", self._cut(q, len(self.books)), self.books)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest vertex of each vertex's component."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Raw and unit vectors in double precision."""
     raw = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -204,7 +188,7 @@ def _links(one: DataFrame, dim: int, n: int, threshold: float, probes: int, list
         a, b, t = place[a], place[b], np.zeros(len(known), np.int64)
         t[place] = times
         n_links = np.bincount(a, t[b], len(known)) + np.bincount(b, t[a], len(known))
-        root = _forest(a, b, len(known))
+        root = forest(a, b, len(known))
         live = np.flatnonzero(n_links)
         return pa.table([pa.array(known[live]), pa.array(n_links[live].astype(np.int64)), pa.array(known[root[live]])], ["id", "n", "root"])
 
