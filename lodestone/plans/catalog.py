@@ -10,16 +10,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
-    """Decorator: a query of (spark, sf_dir), and the SQL that gives the same rows."""
+def register(name: str, sql: str | None, build: Callable[[Callable[[str], DataFrame]], DataFrame]) -> None:
+    """A query that builds its plan from stand-in tables, and the SQL that gives the same rows."""
+    from ..sources.standin import frame, oracle
 
-    def put(f):
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return put
+    _QUERIES[name] = lambda spark, sf_dir: build(lambda table: frame(spark, sf_dir, table))
+    if sql is not None:
+        _SQL[name] = oracle(sql)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,3 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from . import content_queries, report_queries, search_queries  # noqa: F401  they register themselves
+
+
+_load()
