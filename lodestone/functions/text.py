@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 FOLD_FROM = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 FOLD_TO = "اااايهوي01234567890123456789"
 #: Invisible signs, and diacritics with the tatweel.
-INVISIBLE = "[​-‏‪-‮⁠﻿]"
-MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
+INVISIBLE = "[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"
+MARKS = "[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640]"
 STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was")
 
 
@@ -23,7 +23,7 @@ def normalize(text: Column) -> Column:
 
 
 def has_arabic(text: Column) -> Column:
-    return text.rlike("[؀-ۿ]")
+    return text.rlike("[\u0600-\u06ff]")
 
 
 def loose_regex(word: str) -> str:
@@ -47,7 +47,7 @@ def keywords(text: Column, *, unique: bool = True, stop: Sequence[str] = STOP_WO
 
 def language_class(text: Column) -> Column:
     """arabic above 0.30 of the letters, mixed if both scripts exceed 0.15, gibberish, else latin."""
-    arabic = F.length(F.regexp_replace(text, "[^؀-ۿ]", ""))
+    arabic = F.length(F.regexp_replace(text, "[^\u0600-\u06ff]", ""))
     latin = F.length(F.regexp_replace(text, "[^a-zA-Z]", ""))
     letters = F.greatest(arabic + latin, F.lit(1))
     return (

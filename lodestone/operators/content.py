@@ -155,7 +155,7 @@ def closure(edges: DataFrame, depth: int = 20, reverse: bool = False) -> DataFra
     known = step.select(c("parent").alias("ancestor"), c("child").alias("descendant"), F.lit(1).alias("distance"))
     front = known
     for d in range(2, depth + 1):
-        onward = front.join(step, front["descendant"] == step["parent"]).select("ancestor", step["child"].alias("descendant")).where("ancestor != descendant").distinct()
+        onward = front.join(step, c("descendant") == c("parent")).select("ancestor", c("child").alias("descendant")).where("ancestor != descendant").distinct()
         front = onward.join(known, ["ancestor", "descendant"], "left_anti").withColumn("distance", F.lit(d)).persist()
         if not front.limit(1).count():
             break

@@ -1 +1,71 @@
+"""Content, EAV, graph, version and rating queries over the stand-in tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import content as ct, upsert
+from ..params import ReportParams
+from ..sources.standin import mean, rate
+from .catalog import register
+
+P = ReportParams("2024-01-05", "2024-02-10", "weekly", 10)
+IN = "BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-02-10 23:59:59'"
+N = "COUNT(*)"
+STATUS = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}" for s in ct.STATUS)
+LIVE = "s_entries WHERE deleted_at IS NULL"
+
+
+def projects(t):
+    """Nations stand for projects, market segments for data types."""
+    modules = F.when(F.col("n_nationkey") % 3 == 0, '["ecommerce"]').when(F.col("n_nationkey") % 3 == 1, '["booking","ecommerce"]')
+    return t("nations").select(F.col("n_nationkey").alias("id"), modules.alias("enabled_modules"), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz").alias("created_at"))
+
+
+register("admin_overview", f"SELECT *, {rate('published', 'entries')} AS publish_rate FROM (SELECT COUNT(*) AS projects, COUNT(*) AS new_projects, COUNT(*) FILTER (WHERE n_nationkey % 3 < 2) AS with_ecommerce, COUNT(*) FILTER (WHERE n_nationkey % 3 = 1) AS with_booking FROM nation) a, (SELECT COUNT(DISTINCT data_type) AS data_types FROM s_entries) b, (SELECT COUNT(*) AS entries, {STATUS} FROM {LIVE}) c", lambda t: ct.admin_overview(projects(t), t("s_entries").select("data_type").distinct(), t("s_entries"), P))
+register("projects_growth", f"SELECT strftime(created_at, '%G-W%V') AS period, COUNT(*) AS count FROM s_ratings WHERE created_at {IN} GROUP BY 1", lambda t: ct.growth(t("s_ratings"), "created_at", P))
+register("content_summary", f"SELECT data_type, COUNT(*) AS total, {STATUS}, {rate('COUNT(*) FILTER (WHERE status = ' + chr(39) + 'published' + chr(39) + ')', N)} AS publish_rate, {mean('COALESCE(SUM(ratings_avg) FILTER (WHERE ratings_count > 0), 0)', 'COUNT(*) FILTER (WHERE ratings_count > 0)')} AS avg_rating, CAST(SUM(ratings_count) AS BIGINT) AS ratings FROM {LIVE} GROUP BY 1", lambda t: ct.content_summary(t("s_entries").select("data_type").distinct(), t("s_entries")))
+register("content_growth", f"SELECT strftime(published_at, '%G-W%V') AS period, COUNT(*) AS count FROM {LIVE} AND status = 'published' AND published_at {IN} GROUP BY 1", lambda t: ct.content_growth(t("s_entries"), P))
+register("top_rated", f"SELECT id, data_type, CAST(ratings_avg AS DOUBLE) AS ratings_avg, ratings_count FROM {LIVE} AND ratings_count > 0 ORDER BY 3 DESC, 4 DESC, 1 LIMIT 10", lambda t: ct.top_rated(t("s_entries"), 10))
+register("ratings_summary", f"SELECT COUNT(*) AS total, {mean('COALESCE(SUM(rating), 0)', N)} AS avg_rating, COUNT(review) AS with_review FROM s_ratings WHERE created_at {IN} AND rateable_id IN (SELECT id FROM {LIVE})", lambda t: ct.ratings_summary(t("s_ratings"), t("s_entries"), P))
+register("ratings_histogram", f"SELECT CAST(stars AS INT) AS stars, COUNT(rating) AS count, {rate('COUNT(rating)', '(SELECT COUNT(*) FROM s_ratings)')} AS percentage FROM (SELECT UNNEST(range(1, 6)) AS stars) LEFT JOIN s_ratings ON rating = stars GROUP BY 1", lambda t: ct.ratings_histogram(t("s_ratings")))
+register("ratings_trend", f"SELECT strftime(created_at, '%G-W%V') AS period, COUNT(*) AS count, {mean('SUM(rating)', N)} AS avg_rating FROM s_ratings WHERE created_at {IN} GROUP BY 1", lambda t: ct.ratings_trend(t("s_ratings"), P))
+register("ratings_recompute", f"SELECT rateable_type, rateable_id, COUNT(*) AS ratings_count, {mean('SUM(rating)', N)} AS ratings_avg FROM (SELECT rateable_type, rateable_id, user_id, arg_max(rating, CAST(created_at AS VARCHAR) || lpad(CAST(id AS VARCHAR), 12, '0')) AS rating FROM s_ratings GROUP BY 1, 2, 3) GROUP BY 1, 2", lambda t: ct.recompute_ratings(t("s_ratings")))
+register("visible_entries", "SELECT id, status FROM s_entries WHERE deleted_at IS NULL AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '2024-02-01 00:00:00')", lambda t: ct.visible(t("s_entries"), "2024-02-01 00:00:00").select("id", "status"))
+register("publish_due", "SELECT CASE WHEN status = 'scheduled' AND scheduled_at <= TIMESTAMP '2024-02-01 00:00:00' THEN 'published' ELSE status END AS status, COUNT(*) AS n FROM s_entries GROUP BY 1", lambda t: ct.publish_due(t("s_entries"), "2024-02-01 00:00:00").groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+
+# EAV
+LAST = "SELECT entry_id, field, arg_max(value, id) AS value FROM s_values GROUP BY 1, 2"
+register("eav_pivot", f"SELECT entry_id, MAX(value) FILTER (WHERE field = 'name') AS name, MAX(value) FILTER (WHERE field = 'brand') AS brand, TRY_CAST(MAX(value) FILTER (WHERE field = 'size') AS DOUBLE) AS size FROM ({LAST}) GROUP BY 1", lambda t: ct.eav_pivot(t("s_values"), {"name": "string", "brand": "string", "size": "double"}))
+register("eav_lang_fallback", "SELECT entry_id, field, arg_min(value, CAST(p AS BIGINT) * 1000000000 + id) AS value FROM (SELECT *, CASE WHEN language = 'fr' THEN 0 WHEN language = 'en' THEN 1 WHEN language = '0' THEN 2 WHEN language IS NULL THEN 3 END AS p FROM s_values) WHERE p IS NOT NULL GROUP BY 1, 2", lambda t: ct.language_fallback(t("s_values"), "fr", "en"))
+CONDITIONS = {
+    "eq": (("brand", "=", "Brand#2", "string"), "field = 'brand' AND value = 'Brand#2'"),
+    "gt": (("size", ">", 40, "double"), "field = 'size' AND TRY_CAST(value AS DOUBLE) > 40"),
+    "between": (("size", "between", (10, 20), "double"), "field = 'size' AND TRY_CAST(value AS DOUBLE) BETWEEN 10 AND 20"),
+    "in": (("brand", "in", ("Brand#11", "Brand#12"), "string"), "field = 'brand' AND value IN ('Brand#11', 'Brand#12')"),
+    "contains": (("name", "contains", "ar", "string"), "field = 'name' AND value LIKE '%ar%'"),
+}
+ID = "SELECT DISTINCT entry_id FROM s_values WHERE "
+for name, (args, where) in CONDITIONS.items():
+    register(f"eav_predicate_{name}", ID + where, lambda t, args=args: ct.matching(t("s_values"), *args))
+register("eav_predicate_not_contains", f"SELECT DISTINCT entry_id FROM s_values EXCEPT {ID}{CONDITIONS['contains'][1]}", lambda t: ct.matching(t("s_values"), "name", "not_contains", "ar"))
+register("eav_predicate_incollection", "SELECT DISTINCT c_custkey AS entry_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", lambda t: ct.matching(t("s_values"), "", "incollection", ["BUILDING", "MACHINERY"], items=t("customers").select(F.col("c_custkey").alias("entry_id"), F.col("c_mktsegment").alias("collection_id")), collections=t("customers").select(F.col("c_mktsegment").alias("id"), F.col("c_mktsegment").alias("slug")).distinct()))
+register("eav_and", f"{ID}{CONDITIONS['gt'][1]} INTERSECT {ID}{CONDITIONS['contains'][1]}", lambda t: ct.collection([ct.matching(t("s_values"), *CONDITIONS[k][0]) for k in ("gt", "contains")]))
+register("eav_or", f"{ID}{CONDITIONS['eq'][1]} UNION {ID}{CONDITIONS['gt'][1]}", lambda t: ct.collection([ct.matching(t("s_values"), *CONDITIONS[k][0]) for k in ("eq", "gt")], "or", strict=True))
+register("eav_or_empty_condition", "SELECT CAST(0 AS BIGINT) AS n", lambda t: ct.collection([ct.matching(t("s_values"), *CONDITIONS["gt"][0]), ct.matching(t("s_values"), "brand", "=", "none")], "or").agg(F.count(F.lit(1)).alias("n")))
+register("eav_number_map", f"SELECT entry_id, TRY_CAST(value AS DOUBLE) AS number FROM ({LAST}) WHERE field = 'size'", lambda t: ct.eav_pivot(t("s_values"), {"size": "double"}).withColumnRenamed("size", "number"))
+register("manual_collection", "SELECT collection_id, entry_id, CAST(ROW_NUMBER() OVER (PARTITION BY collection_id ORDER BY sort_order, entry_id) AS INT) AS sort_order FROM (SELECT p_partkey % 10 AS collection_id, p_partkey AS entry_id, p_size AS sort_order FROM part) WHERE entry_id IN (SELECT id FROM s_entries WHERE deleted_at IS NULL)", lambda t: ct.manual_items(t("parts").select((F.col("p_partkey") % 10).alias("collection_id"), F.col("p_partkey").alias("entry_id"), F.col("p_size").alias("sort_order")), t("s_entries")))
+
+# Graph
+WALK = "WITH RECURSIVE w(ancestor, descendant, distance) AS (SELECT parent, child, 1 FROM s_edges UNION SELECT w.ancestor, e.child, w.distance + 1 FROM w JOIN s_edges e ON e.parent = w.descendant WHERE w.distance < 6) SELECT ancestor, descendant, CAST(MIN(distance) AS INT) AS distance FROM w WHERE ancestor <> descendant GROUP BY 1, 2"
+register("graph_closure", WALK, lambda t: ct.closure(t("s_edges")))
+register("tree_roots", "SELECT DISTINCT parent AS id FROM s_edges WHERE parent NOT IN (SELECT child FROM s_edges)", lambda t: ct.roots(t("s_edges")))
+register("graph_neighbours", "SELECT COALESCE(u.id, d.id) AS id, COALESCE(parents, 0) AS parents, COALESCE(children, 0) AS children FROM (SELECT child AS id, COUNT(*) AS parents FROM s_edges GROUP BY 1) u FULL JOIN (SELECT parent AS id, COUNT(*) AS children FROM s_edges GROUP BY 1) d ON u.id = d.id", lambda t: ct.neighbours(t("s_edges")))
+register("relation_check", "SELECT parent, child FROM s_edges WHERE child NOT IN (SELECT 1000 + s_suppkey FROM supplier)", lambda t: ct.dangling(t("s_edges"), t("s_resources").select((F.col("id") + 1000).alias("id"))).select("parent", "child"))
+
+# Versions
+register("version_latest", "SELECT entry_id, MAX(version) AS version, arg_max(snapshot, version) AS snapshot, COUNT(*) AS versions FROM s_versions GROUP BY 1", lambda t: ct.latest_version(t("s_versions")))
+register("version_page", "SELECT entry_id, version FROM s_versions ORDER BY entry_id, version DESC LIMIT 25 OFFSET 50", lambda t: ct.version_page(t("s_versions"), 3, 25).select("entry_id", "version"))
+register("version_restore", "SELECT p_partkey AS entry_id, 'title' AS field, 'en' AS language, p_name AS value FROM part UNION ALL SELECT p_partkey, 'title', 'ar', p_brand FROM part UNION ALL SELECT p_partkey, 'type', NULL, p_type FROM part", lambda t: ct.restore_values(t("parts").select(F.col("p_partkey").alias("entry_id"), F.to_json(F.struct(F.col("p_name").alias("title_en"), F.col("p_brand").alias("title_ar"), F.col("p_type").alias("type"))).alias("snapshot"))))
+register("entry_search_exists", "SELECT id FROM s_entries e WHERE EXISTS (SELECT 1 FROM s_values v WHERE v.entry_id = e.id AND value LIKE '%5%') AND published_at >= TIMESTAMP '2024-01-10 00:00:00' AND published_at < TIMESTAMP '2024-02-01 00:00:00'", lambda t: t("s_entries").where((F.col("published_at") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("published_at") < F.lit("2024-02-01").cast("timestamp_ntz"))).join(t("s_values").where(F.col("value").contains("5")).select(F.col("entry_id").alias("id")), "id", "left_semi").select("id"))
+register("entries_by_type_page", "SELECT id, data_type FROM s_entries WHERE data_type = 'src1' AND deleted_at IS NULL ORDER BY published_at DESC, id LIMIT 20", lambda t: upsert.page(t("s_entries").where("data_type = 'src1' and deleted_at is null"), [F.desc("published_at"), "id"], 1, 20).select("id", "data_type"))

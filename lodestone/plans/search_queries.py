@@ -1 +1,87 @@
+"""Search, signal and text queries over the stand-in tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import access, search as se
+from ..streaming import ingest
+from .catalog import register
+
+NOW = "2024-01-28 12:00:00"
+AT = f"TIMESTAMP '{NOW}'"
+
+
+def docs(t):
+    return t("s_entries").select("id", F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"))
+
+
+# Tokens in SQL: lower-case, other signs to spaces, split, 2 to 40 signs, no stop words.
+STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+
+
+def tokens(column: str) -> str:
+    # Folding of Arabic letters does not touch these tables' texts.
+    return f"list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(lower({column}), '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\s_-]', ' ', 'g'), '[\\s_-]+'), lambda x: length(x) BETWEEN 2 AND 40 AND x NOT IN ({STOP}))"
+
+
+POST = f"p AS (SELECT token, id, COUNT(*) AS tf FROM (SELECT id, UNNEST({tokens('text')}) AS token FROM s_entries) GROUP BY 1, 2)"
+register("search_postings", f"WITH {POST} SELECT token, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS tf FROM p GROUP BY 1", lambda t: se.postings(docs(t)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")))
+register("search_and", f"WITH {POST} SELECT id, 2 AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token IN ('of', 'by') GROUP BY 1 HAVING COUNT(DISTINCT token) = 2", lambda t: se.retrieve(se.postings(docs(t)), [["of"], ["by"]]))
+register("search_or", f"WITH {POST} SELECT id, CAST(COUNT(DISTINCT CASE WHEN token = 'sur' THEN 1 ELSE 2 END) AS INT) AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token = 'sur' OR starts_with(token, 'under') GROUP BY 1", lambda t: se.retrieve(se.postings(docs(t)), [["sur"], ["under*"]], "or"))
+register("search_exclude", f"WITH {POST} SELECT id, 1 AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token = 'of' AND id NOT IN (SELECT id FROM p WHERE token = 'by') GROUP BY 1", lambda t: se.retrieve(se.postings(docs(t)), [["of"]], exclude=["by"]))
+register("search_relaxation", f"WITH {POST} SELECT id, CAST(COUNT(DISTINCT token) AS INT) AS hits, CAST(SUM(tf) AS BIGINT) AS tf, 1 AS step FROM p WHERE token IN ('sur', 'und') GROUP BY 1", lambda t: se.relax(se.postings(docs(t)), [([["sur"], ["nosuchword"]], "and"), ([["sur"], ["und"]], "or"), ([["of"]], "or")]))
+register("search_relevance", f"WITH {POST}, d AS (SELECT token, COUNT(*) AS df FROM p WHERE token IN ('of', 'sur') GROUP BY 1) SELECT id, ROUND(SUM(tf * pow(log10(1000.0::DOUBLE / df), 2)), 6) AS score FROM p JOIN d USING (token) GROUP BY 1", lambda t: se.relevance(se.postings(docs(t)), ["of", "sur"], 1000))
+
+
+def candidates(t):
+    return t("s_entries").select("id", F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), (F.col("id") % 10 / 10.0).alias("fulltext"), (F.col("id") % 20).alias("position"), "clicks", "views", F.lit(0.5).alias("popularity"), F.lit(0.1).alias("ctr"), F.lit(0.2).alias("freshness"))
+
+
+register("search_rank", "SELECT id, ROUND(CAST(3 * (id % 10 / 10.0::DOUBLE) + CASE WHEN contains(lower(t), 'of the') THEN 8 ELSE 0 END + CASE WHEN contains(lower(text), 'of the') THEN 3 ELSE 0 END + CASE WHEN contains(lower(t), 'the') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(t), '7') THEN 5 ELSE -1 END + 1.5 / (id % 20 + 2) + ln(clicks + 1) * 2.5 + ln(views + 1) * 1.5 + 1.5 + 0.4 + 0.4 AS DOUBLE), 6) AS score FROM (SELECT *, substring(text, 1, 40) AS t FROM s_entries)", lambda t: se.rerank(candidates(t), ["the", "7"], "of the").select("id", "score"))
+register("index_features", "SELECT id, regexp_matches(t, '[0-9]') AS has_numbers, CAST(len(string_split_regex(trim(t), ' +')) AS INT) AS word_count, CAST(length(t) AS INT) AS title_length, lower(string_split(trim(t), ' ')[1]) AS primary_keyword FROM (SELECT id, substring(text, 1, 40) AS t FROM s_entries)", lambda t: se.index(docs(t)).drop("title", "content"))
+register("snippet", "SELECT id, CASE WHEN strpos(lower(text), 'of the') > 0 THEN substring(text, GREATEST(strpos(lower(text), 'of the') - 60, 1), 160) ELSE substring(text, 1, 160) END AS snippet FROM s_entries", lambda t: t("s_entries").select("id", se.snippet(F.col("text"), "of the").alias("snippet")))
+register("compare_results", "SELECT state, COUNT(*) AS n FROM (SELECT CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'common' WHEN id % 2 = 0 THEN 'lost' ELSE 'new' END AS state FROM s_entries WHERE id % 2 = 0 OR id % 3 = 0) GROUP BY 1", lambda t: se.compare(t("s_entries").where("id % 2 = 0"), t("s_entries").where("id % 3 = 0")).groupBy("state").agg(F.count(F.lit(1)).alias("n")))
+
+# Logs
+KEY = "lower(trim(keyword))"
+AGO = "COUNT(*) FILTER (WHERE searched_at >= " + AT + " - to_hours({0}))"
+POPULAR = f"SELECT keyword, language, count_24h, count_7d, count_30d, count_all, last_searched_at, 0 AS clicks, ROUND((4.0::DOUBLE * count_24h + 2.0::DOUBLE * count_7d + count_30d) / pow(GREATEST(date_sub('hour', last_searched_at, {AT}), 0) + 2.0, 1.5), 4) AS trending_score, ROUND(log10(count_all + 1) + GREATEST(0.0::DOUBLE, 1 - GREATEST(date_sub('day', last_searched_at, {AT}), 0) / 90.0::DOUBLE), 4) AS alltime_score, CASE WHEN count_7d <= 0 AND count_24h > 0 THEN 'rising' WHEN count_7d <= 0 THEN 'stable' WHEN count_24h >= 2 * (count_7d / 7.0::DOUBLE) THEN 'rising' WHEN count_24h <= 0.5::DOUBLE * (count_7d / 7.0::DOUBLE) THEN 'falling' ELSE 'stable' END AS trend FROM (SELECT {KEY} AS keyword, language, {AGO.format(24)} AS count_24h, {AGO.format(168)} AS count_7d, {AGO.format(720)} AS count_30d, COUNT(*) AS count_all, MAX(searched_at) AS last_searched_at FROM s_searches WHERE searched_at <= {AT} GROUP BY 1, 2)"
+
+
+def past(t):
+    return t("s_searches").where(F.col("searched_at") <= F.lit(NOW).cast("timestamp_ntz"))
+
+
+register("popular_recompute", POPULAR, lambda t: se.popular(past(t), NOW))
+register("trending_topk", f"SELECT keyword, language, count_24h AS count, trending_score, trend FROM ({POPULAR}) ORDER BY trending_score DESC, count_24h DESC, keyword, language LIMIT 10", lambda t: se.trending(se.popular(past(t), NOW), 10))
+register("trend_label", f"SELECT trend, COUNT(*) AS n FROM ({POPULAR}) GROUP BY 1", lambda t: se.popular(past(t), NOW).groupBy("trend").agg(F.count(F.lit(1)).alias("n")))
+SUGGEST = f"SELECT keyword, language, search_count, click_count, ROUND(log10(search_count + 1) + 2 * log10(click_count + 1) + GREATEST(0.0::DOUBLE, 1 - GREATEST(date_sub('day', last, {AT}), 0) / 30.0::DOUBLE), 4) AS score FROM (SELECT {KEY} AS keyword, language, COUNT(*) AS search_count, COUNT(*) FILTER (WHERE results_count > 0) AS click_count, MAX(searched_at) AS last FROM s_searches GROUP BY 1, 2)"
+register("suggestion_build", SUGGEST, lambda t: se.suggestions(t("s_searches"), NOW))
+register("suggest_prefix", f"SELECT * FROM ({SUGGEST}) WHERE starts_with(keyword, 'red') ORDER BY score DESC, search_count DESC, keyword, language LIMIT 10", lambda t: se.suggest(se.suggestions(t("s_searches"), NOW), "Red", 10))
+PAIRS = f"""WITH k AS (SELECT keyword, list_sort(list_distinct({tokens('keyword')})) AS t FROM (SELECT {KEY} AS keyword FROM s_searches GROUP BY 1 HAVING COUNT(*) >= 2)), w AS (SELECT keyword, UNNEST(t) AS w FROM k), f AS (SELECT w, COUNT(*) AS f FROM w GROUP BY 1), b AS (SELECT x.w AS a, y.w AS b, COUNT(*) AS together FROM w x JOIN w y ON x.keyword = y.keyword AND x.w < y.w GROUP BY 1, 2 HAVING COUNT(*) >= 2), j AS (SELECT a, b, together, fa.f AS count_a, fb.f AS count_b, together::DOUBLE / (fa.f + fb.f - together) AS j, MAX(together) OVER () AS top FROM b JOIN f fa ON fa.w = a JOIN f fb ON fb.w = b) SELECT a, b, together, count_a, count_b, ROUND(j, 6) AS jaccard, ROUND(0.5::DOUBLE * j + 0.3::DOUBLE * (ln(together + 1) / ln(top + 1)) + 0.2::DOUBLE * (LEAST(count_a, count_b)::DOUBLE / GREATEST(count_a, count_b)), 4) AS confidence FROM j WHERE j >= 0.02"""
+register("synonym_pairs", PAIRS, lambda t: se.synonym_pairs(t("s_searches"), least_jaccard=0.02))
+register("ctr_signals", f"SELECT id, ctr, freshness, ROUND(0.6::DOUBLE * ln(clicks + 1) + 0.3::DOUBLE * ln(views + 1) + 0.1::DOUBLE * freshness, 4) AS popularity FROM (SELECT id, clicks, views, CASE WHEN views > 0 THEN ROUND(clicks::DOUBLE / views, 4) ELSE 0.0 END AS ctr, ROUND(1::DOUBLE / (GREATEST(date_sub('day', published_at, {AT}), 0) + 1), 4) AS freshness FROM s_entries)", lambda t: se.signals(t("s_entries"), NOW).select("id", "ctr", "freshness", "popularity"))
+register("popularity_rating", "SELECT id, ROUND(2 * log10(ratings_count + 1) + 1.5::DOUBLE * log10(clicks + 1) + 0.5::DOUBLE * CAST(ratings_avg AS DOUBLE), 4) AS popularity_rating FROM s_entries", lambda t: se.rating_popularity(t("s_entries").withColumn("ratings_avg", F.col("ratings_avg").cast("double"))).select("id", "popularity_rating"))
+register("user_type_affinity", "SELECT user_id, type, COUNT(*) AS n, ROUND(COUNT(*)::DOUBLE / (COUNT(*) + 3), 4) AS affinity FROM s_clicks GROUP BY 1, 2 HAVING COUNT(*) >= 2", lambda t: se.type_affinity(t("s_clicks")))
+TERMS = f"SELECT user_id, UNNEST(list_distinct({tokens('text')})) AS term FROM s_clicks"
+register("user_term_affinity", f"SELECT user_id, term, n, ROUND(n::DOUBLE / (n + 2), 4) AS affinity FROM (SELECT user_id, term, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY COUNT(*) DESC, term) AS r FROM ({TERMS}) WHERE term <> 'text' GROUP BY 1, 2 HAVING COUNT(*) >= 2) WHERE r <= 20", lambda t: se.term_affinity(t("s_clicks"), neutral=["text"]))
+register("recent_keywords", f"WITH l AS (SELECT user_id, keyword, MAX(searched_at) AS seen FROM s_searches WHERE searched_at >= {AT} - to_days(14) GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY seen DESC, keyword) AS r FROM l), w AS (SELECT user_id, UNNEST(list_distinct({tokens('keyword')})) AS word, ROUND(exp(-GREATEST(date_sub('day', seen, {AT}), 0) / 7.0::DOUBLE), 6) AS weight FROM r WHERE r <= 8), m AS (SELECT user_id, word, MAX(weight) AS weight FROM w WHERE length(word) >= 3 AND NOT regexp_matches(word, '^[0-9]+$') GROUP BY 1, 2) SELECT user_id, word, weight FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY weight DESC, word) AS r FROM m) WHERE r <= 10", lambda t: se.recent_keywords(t("s_searches"), NOW))
+register("query_problems", "SELECT keyword, COUNT(*) AS searches, COUNT(*) FILTER (WHERE results_count = 0) AS zero, COUNT(*) FILTER (WHERE results_count BETWEEN 1 AND 3) AS low, COUNT(DISTINCT user_id) AS users, length(keyword) < 2 OR regexp_matches(keyword, '^[0-9]+$') OR (COUNT(*) >= 10 AND COUNT(*) FILTER (WHERE results_count = 0) = COUNT(*)) AS suspicious FROM s_searches GROUP BY 1", lambda t: se.query_quality(t("s_searches")))
+register("clicked_texts", "SELECT * FROM (SELECT user_id, entry_id, clicked_at, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY clicked_at DESC, entry_id) AS INT) AS rank FROM (SELECT user_id, entry_id, MAX(clicked_at) AS clicked_at FROM s_clicks GROUP BY 1, 2)) WHERE rank <= 5", lambda t: se.clicked_texts(t("s_clicks"), 5))
+register("click_counts_by_type", f"SELECT user_id, type, COUNT(*) AS clicks FROM s_clicks WHERE clicked_at >= {AT} - to_days(7) GROUP BY 1, 2", lambda t: t("s_clicks").where(F.col("clicked_at") >= F.timestamp_add("DAY", F.lit(-7), F.lit(NOW).cast("timestamp_ntz"))).groupBy("user_id", "type").agg(F.count(F.lit(1)).alias("clicks")))
+register("signal_health", "SELECT CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(views) AS BIGINT) AS views, COUNT(*) FILTER (WHERE clicks = 0) AS zero_clicks, CAST(SUM(clicks) AS DOUBLE) / COUNT(*) AS avg_clicks FROM s_entries", lambda t: t("s_entries").agg(F.sum("clicks").alias("clicks"), F.sum("views").alias("views"), F.count_if(F.col("clicks") == 0).alias("zero_clicks"), (F.sum("clicks").cast("double") / F.count(F.lit(1))).alias("avg_clicks")))
+
+# Text
+register("normalize_text", "SELECT id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM s_entries", lambda t: t("s_entries").select("id", tx.normalize(F.col("text")).alias("text")))
+register("tokenize", f"SELECT id, CAST(len(list_distinct({tokens('text')})) AS INT) AS n FROM s_entries", lambda t: t("s_entries").select("id", F.size(tx.keywords(F.col("text"))).alias("n")))
+register("strip_tags", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages", lambda t: t("web_pages").select("page_id", tx.strip_html(F.col("html")).alias("text")))
+register("typo_correct", "WITH q AS (SELECT DISTINCT substring(c_name, 1, 9) || substring(c_name, 11, 6) AS word FROM customer WHERE c_custkey <= 60), d AS (SELECT DISTINCT c_name AS term FROM customer WHERE c_custkey <= 300), m AS (SELECT word, term, levenshtein(word, term) AS d FROM q, d WHERE levenshtein(word, term) <= CASE WHEN length(word) <= 5 THEN 1 WHEN length(word) <= 8 THEN 2 ELSE 3 END AND 1 - levenshtein(word, term)::DOUBLE / GREATEST(length(word), length(term)) >= 0.6), b AS (SELECT word, MIN(lpad(d::VARCHAR, 3, '0') || term) AS x FROM m GROUP BY 1) SELECT word, substring(x, 4) AS term, CAST(substring(x, 1, 3) AS INT) AS distance, CASE CAST(substring(x, 1, 3) AS INT) WHEN 0 THEN 0.95::DOUBLE WHEN 1 THEN 0.88::DOUBLE WHEN 2 THEN 0.72::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM b", lambda t: tx.typo_candidates(t("customers").where("c_custkey <= 60").select(F.concat(F.substring("c_name", 1, 9), F.substring("c_name", 11, 6)).alias("word")), t("customers").where("c_custkey <= 300").select(F.col("c_name").alias("term"))).withColumn("confidence", F.col("confidence").cast("double")))
+register("intent_detect", "WITH s(intent, word, weight) AS (VALUES " + ", ".join(f"('{i}', '{w}', {x}::DOUBLE)" for i, ws in tx.INTENTS.items() for w, x in ws.items()) + "), q AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'buy cheap phone' WHEN 1 THEN 'how to fix a phone' WHEN 2 THEN 'a vs b best' WHEN 3 THEN 'learn what to buy' ELSE 'phone' END AS text FROM customer), w AS (SELECT id, UNNEST(string_split(lower(text), ' ')) AS word FROM q), m AS (SELECT id, intent, SUM(weight) AS w FROM w JOIN s USING (word) GROUP BY 1, 2), b AS (SELECT id, arg_max(intent, (w, intent)) AS intent, MAX(w) / SUM(w) AS confidence FROM m GROUP BY 1) SELECT q.id, CASE WHEN COALESCE(confidence >= 0.3, FALSE) THEN intent ELSE 'general' END AS intent, ROUND(COALESCE(confidence, 0.0::DOUBLE), 4) AS confidence FROM q LEFT JOIN b USING (id)", lambda t: tx.intent(t("customers").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, "buy cheap phone").when(F.col("c_custkey") % 5 == 1, "how to fix a phone").when(F.col("c_custkey") % 5 == 2, "a vs b best").when(F.col("c_custkey") % 5 == 3, "learn what to buy").otherwise("phone").alias("text"))))
+register("language_class", None, lambda t: t("s_entries").groupBy(tx.language_class(F.substring("text", 1, 60)).alias("class")).agg(F.count(F.lit(1)).alias("n")))
+register("visibility_filter", "SELECT id FROM s_entries e WHERE id % 3 <> 0 OR id % 6 = 0", lambda t: access.visible_to(t("s_entries").select("id"), t("s_entries").where("id % 3 = 0").select(F.col("id").alias("entry_id"), F.when(F.col("id") % 6 == 0, "basic").otherwise("gold").alias("feature")), t("customers").limit(1).select(F.lit(7).alias("user_id"), F.lit("basic").alias("feature")), 7))
+
+# Events (windows are an extension)
+register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2", lambda t: ingest.windowed_counts(t("event_log"), "ts", "1 hour"))
+register("event_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts >= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, MIN(ts) AS start, MAX(ts) + INTERVAL 6 HOUR AS \"end\", COUNT(*) AS n FROM s GROUP BY user_id, k", lambda t: ingest.sessions(t("event_log"), "ts", "6 hours"))

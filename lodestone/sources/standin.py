@@ -31,6 +31,8 @@ FRAMES = {
     "s_edges": "SELECT CAST(r_regionkey AS BIGINT) AS parent, CAST(100 + n_nationkey AS BIGINT) AS child FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT CAST(100 + s_nationkey AS BIGINT), 1000 + s_suppkey FROM supplier UNION ALL SELECT 1000 + s_suppkey, CAST(100 + s_nationkey AS BIGINT) FROM supplier WHERE s_suppkey % 25 = 0",
     "parts": "SELECT * FROM part",
     "customers": "SELECT * FROM customer",
+    "nations": "SELECT * FROM nation",
+    "web_pages": "SELECT * FROM pages",
     "event_log": "SELECT * FROM events",
     "s_versions": "SELECT conv_id AS entry_id, turn AS version, CONCAT(role, ':', COALESCE(text, '')) AS snapshot FROM conversations",
 }
