@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown_lm, decontaminate, html_text, language_id, mixing, near_dup, sharding, url_filter, vector_dup
+from . import brown_lm, decontaminate, html_text, language_id, mixing, near_dup, sharding, suffix_dup, url_filter, vector_dup
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.vector_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,5 +49,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_vector_dup, op4_mixing, op5_decontamination, op6_html_extraction, op7_lm_scoring, op8_sharding, op9_near_dup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_vector_dup, op4_mixing, op5_decontamination, op6_html_extraction, op7_lm_scoring, op8_sharding, op9_near_dup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
