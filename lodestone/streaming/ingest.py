@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-EVENT = T.StructType.fromDDL("event_id string, module string, event_type string, user_id bigint, project_id bigint, occurred_at timestamp, payload string")
+EVENT = "event_id string, module string, event_type string, user_id bigint, project_id bigint, occurred_at timestamp, payload string"
 
 
 def decode(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
