@@ -135,11 +135,17 @@ def extract(pages: DataFrame, *, run: int = 6) -> DataFrame:
 
     def suffixes(batches):
         for batch in batches:
-            for row, listed in enumerate(batch.column(2).to_pylist()):
-                heads = np.unique(np.concatenate([_heads(b["text"], run) for b in listed] or [np.zeros(0, np.uint64)]))
-                if len(heads):
-                    one = batch.slice(row, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([one.column(0)[0].as_py()] * len(heads), one.column(0).type), pa.array([one.column(1)[0].as_py()] * len(heads), pa.string()), pa.array(heads.view(np.int64))], ["page_id", "host", "head"])
+            listed = [rest or [] for rest in batch.column(2).to_pylist()]
+            page = np.repeat(np.arange(len(listed)), [len(rest) for rest in listed])
+            if not len(page):
+                continue
+            block, head = shingles(words(*text_bytes(pa.array([b["text"] for rest in listed for b in rest], pa.large_string())), SOLID, VALUES), run)
+            row = page[block]
+            order = np.lexsort((head, row))
+            row, head = row[order], head[order]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (head[1:] != head[:-1])])[: len(row)]
+            row, head = pa.array(row[new]), head[new]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(head.view(np.int64))], ["page_id", "host", "head"])
 
     page_id = pages.schema["page_id"].dataType.simpleString()
     kind = f"page_id {page_id}, host string, head bigint"
