@@ -288,6 +288,14 @@ def similarity(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.
     return both.mapInArrow(judge, "a bigint, b bigint, j double")
 
 
+def _join_buckets(members: DataFrame, facts: DataFrame, block: int) -> DataFrame:
+    """Join ``facts`` (bucket, n and more) to the members of each bucket; a large bucket is dealt in parts of about ``block`` rows."""
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64(F.lit(31), "id"), parts).cast("int"))
+    copies = facts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copies, ["bucket", "part"]).drop("part")
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, bands: int = 14, rows: int = 3, common: float = 0.02, small: int = 16, block: int = 512) -> DataFrame:
     """One row a document: doc_id, text_id (its text's smallest doc_id), n_links (links of its text that were needed), class_id, kept."""
     draws, least = bands * rows, math.floor(bands * rows * (threshold - 0.3))
@@ -302,8 +310,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, band
     small_member = member.where(F.col("n") <= small).join(reps.select("id", "sig"), "id")
     pairs = _near_in_buckets(small_member, draws, least)
     large = member.where(F.col("n") > small)
-    lead = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(29), "id").alias("h"), "id")).alias("s")).select("bucket", F.col("s.id").alias("lead"))
-    star = large.join(lead, "bucket").where("id != lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    lead = large.groupBy("bucket", "n").agg(F.min(F.struct(F.xxhash64(F.lit(29), "id").alias("h"), "id")).alias("s")).select("bucket", "n", F.col("s.id").alias("lead"))
+    star = _join_buckets(large, lead, block).where("id != lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     pairs = stage(pairs.union(star).distinct(), "pairs")
     involved = member.select("id").distinct().hint("merge")
     named = own.select(F.col("doc_id").alias("id"), "text").join(involved, "id").join(reps.select("id", "key"), "id")
@@ -311,8 +319,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, band
     links = stage(similarity(pairs, texts, idf, k=k).where(F.col("j") >= threshold).select("a", "b"), "links")
     group = components(links)
     state = large.join(group, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    state = stage(state.join(split, "bucket", "left_semi"), "state")
+    split = state.groupBy("bucket", "n").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "n")
+    state = stage(_join_buckets(state, split, block), "state")
     if state.limit(1).count():
         more = stage(_near_in_blocks(state, texts, idf, threshold=threshold, k=k, block=block).distinct(), "more")
         if more.limit(1).count():
