@@ -150,11 +150,12 @@ def extract(pages: DataFrame, *, run: int = 6) -> DataFrame:
     page_id = pages.schema["page_id"].dataType.simpleString()
     kind = f"page_id {page_id}, host string, head bigint"
     found = parsed.where(F.size("rest") > 0).select("page_id", "host", "rest").mapInArrow(suffixes, kind)
-    repeated = found.groupBy("host", "head").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi").select("host", "head")
+    key = F.xxhash64("host", "head").alias("key")
+    repeated = found.select("page_id", key).groupBy("key").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi").select("key")
     # Only pages without a marked article ask which of their runs are repeated.
     asking = parsed.where(F.col("text").isNull() & (F.size(F.filter("rest", lambda b: ~b["barred"])) > 0))
-    asked = asking.select("page_id", "host", F.filter("rest", lambda b: ~b["barred"]).alias("rest")).mapInArrow(suffixes, kind).distinct()
-    covered = asked.join(repeated, ["host", "head"]).groupBy("page_id").agg(F.collect_set("head").alias("heads"))
+    asked = asking.select("page_id", "host", F.filter("rest", lambda b: ~b["barred"]).alias("rest")).mapInArrow(suffixes, kind)
+    covered = asked.select("page_id", "head", key).join(repeated, "key").groupBy("page_id").agg(F.collect_set("head").alias("heads"))
     judged = parsed.join(covered, "page_id", "left")
 
     def finish(batches):
