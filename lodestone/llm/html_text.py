@@ -156,7 +156,9 @@ def extract(pages: DataFrame, *, run: int = 6) -> DataFrame:
     asking = parsed.where(F.col("text").isNull() & (F.size(F.filter("rest", lambda b: ~b["barred"])) > 0))
     asked = asking.select("page_id", "host", F.filter("rest", lambda b: ~b["barred"]).alias("rest")).mapInArrow(suffixes, kind)
     covered = asked.select("page_id", "head", key).join(repeated, "key").groupBy("page_id").agg(F.collect_set("head").alias("heads"))
-    judged = parsed.join(covered, "page_id", "left")
+    # Marked articles are done; only the open pages' candidate blocks travel to meet their repeated runs.
+    marked = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
+    judged = parsed.where(F.col("text").isNull()).select("page_id", "url", "text", F.filter("rest", lambda b: ~b["barred"]).alias("rest")).join(covered, "page_id", "left")
 
     def finish(batches):
         for batch in batches:
@@ -168,7 +170,8 @@ def extract(pages: DataFrame, *, run: int = 6) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return judged.select("page_id", "url", "text", "rest", "heads").mapInArrow(finish, f"page_id {page_id}, url string, text string")
+    open_ = judged.select("page_id", "url", "text", "rest", "heads").mapInArrow(finish, f"page_id {page_id}, url string, text string")
+    return marked.unionByName(open_)
 
 
 def _uncovered(text: str, heads: np.ndarray, run: int) -> str:
