@@ -5,7 +5,13 @@ list's centroid is coded in subspaces. A query looks up its inner products with
 all codewords once and adds them by code (asymmetric distance). Every member
 carries the length of its coding error, which bounds how far that sum is off, so
 the filter loses nothing; what passes is decided by the exact cosine in double
-precision. A query probes the ``probes`` nearest lists.
+precision. A query probes every list that can hold a link of it: the list's
+widest angle from its centroid must reach the query's neighbourhood, and so must
+the half-space in which the list's centroid is nearer than the query's own. Both
+bounds are necessary for a link, so one direction finds a pair: from the list of
+the smaller number to the other. Centroids closer than a link's length become
+one, so that a group of near vectors is one list (of many blocks) rather than
+many lists that all probe each other.
 
 Both quantisers are fitted on at most about ``sample_rows`` vectors chosen by a
 hash of the id; every vector is indexed and every vector is a query. Equal
@@ -45,6 +51,20 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarray:
     return c
 
 
+def apart(c: np.ndarray, length: float) -> np.ndarray:
+    """The rows of ``c`` of which none is closer than ``length`` to one kept before."""
+    square, kept, free = (c**2).sum(1), [], np.ones(len(c), bool)
+    for i in range(len(c)):
+        if free[i]:
+            kept.append(i)
+            free &= square + square[i] - 2 * c @ c[i] >= length**2
+    return c[kept]
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
 @dataclass
 class Quantiser:
     coarse: np.ndarray
@@ -52,9 +72,9 @@ class Quantiser:
     books: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int, subspaces: int, codewords: int) -> Quantiser:
-        """``x``: unit vectors."""
-        coarse = k_means(x, min(lists, len(x)), 8)
+    def fit(cls, x: np.ndarray, lists: int, subspaces: int, codewords: int, length: float) -> Quantiser:
+        """``x``: unit vectors; centroids lie at least ``length`` apart."""
+        coarse = apart(k_means(x, min(lists, len(x)), 8), length)
         rest = cls._cut(x - coarse[cls._near(x, coarse)], subspaces)
         books = [k_means(rest[:, m], min(codewords, len(x)), 5) for m in range(subspaces)]
         return cls(coarse, np.stack(books))
@@ -69,17 +89,36 @@ class Quantiser:
         x = np.pad(x, ((0, 0), (0, width * subspaces - x.shape[1])))
         return x.reshape(len(x), subspaces, width)
 
-    def encode(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probed lists (the own one first), codes, and length of the coding error."""
-        d = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
-        p = min(probes, len(self.coarse))
-        near = np.argpartition(d, p - 1, axis=1)[:, :p] if p < len(self.coarse) else np.tile(np.arange(p), (len(x), 1))
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-        rest = self._cut(x - self.coarse[near[:, 0]], len(self.books))
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, length of the coding error, and angle to the list's centroid."""
+        home = self._near(x, self.coarse)
+        rest = self._cut(x - self.coarse[home], len(self.books))
         code = np.stack([self._near(rest[:, m], book) for m, book in enumerate(self.books)], 1)
         made = np.stack([book[code[:, m]] for m, book in enumerate(self.books)], 1)
         error = np.sqrt(((rest - made) ** 2).sum((1, 2)))
-        return near.astype(np.int32), code.astype(np.uint8), error
+        return home.astype(np.int32), code.astype(np.uint8), error, _angle(np.einsum("ij,ij->i", x, self._directions()[home]))
+
+    def _directions(self) -> np.ndarray:
+        return self.coarse / np.maximum(np.sqrt((self.coarse**2).sum(1, keepdims=True)), 1e-300)
+
+    def reach(self, x: np.ndarray, home: np.ndarray, widest: np.ndarray, threshold: float) -> np.ndarray:
+        """(queries, lists): whether a list of no smaller number than the own one can hold a vector of cosine ``threshold``.
+
+        ``widest`` has each list's largest angle between a member and its centroid, negative without members.
+        """
+        c, turn = self.coarse, np.arccos(threshold)
+        square = (c**2).sum(1)
+        dot = x @ c.T
+        own = dot[np.arange(len(x)), home]
+        near = _angle(x @ self._directions().T) <= widest + turn + 1e-7
+        # A member v of list l has v . g >= s with g = 2 (c_l - c_home); the largest v . g within the angle of x must come up to s.
+        along = 2 * (dot - own[:, None])
+        length = 2 * np.sqrt(np.maximum(square + square[home][:, None] - 2 * (c @ c.T)[home], 0))
+        most = threshold * along + np.sin(turn) * np.sqrt(np.maximum(length**2 - along**2, 0))
+        most = np.where(along >= threshold * length, length, most)
+        near &= most >= square - square[home][:, None] - 1e-9
+        near[np.arange(len(x)), home] = True
+        return near & (widest >= 0) & (np.arange(len(c)) >= home[:, None])
 
     def table(self, q: np.ndarray) -> np.ndarray:
         """(subspaces, codewords, queries): inner products of each query's parts with each codeword."""
@@ -93,7 +132,7 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
 
 
-def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, probes: int = 8, list_rows: int = 256, most_lists: int = 4096, subspaces: int = 16, codewords: int = 64, sample_rows: int = 16_000, block: int = 512) -> DataFrame:
+def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, list_rows: int = 256, most_lists: int = 4096, subspaces: int = 16, codewords: int = 64, sample_rows: int = 16_000, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -104,7 +143,7 @@ def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, probes: in
     sizes = one.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a length
     found = None
     for r in sizes:
-        part = _links(one.where(F.size("embedding") == r["dim"]), r["dim"], r["n"], threshold, probes, max(1, min(most_lists, r["n"] // list_rows)), subspaces, codewords, sample_rows, block)
+        part = _links(one.where(F.size("embedding") == r["dim"]), r["dim"], r["n"], threshold, max(1, min(most_lists, r["n"] // list_rows)), subspaces, codewords, sample_rows, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -117,34 +156,46 @@ def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, probes: in
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(one: DataFrame, dim: int, n: int, threshold: float, probes: int, lists: int, subspaces: int, codewords: int, sample_rows: int, block: int) -> DataFrame:
+def _links(one: DataFrame, dim: int, n: int, threshold: float, lists: int, subspaces: int, codewords: int, sample_rows: int, block: int) -> DataFrame:
     """(id, n, root): link counts, and edges to the root of each block's spanning trees."""
     spark = one.sparkSession
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(41), "id"), 11).cast("double") / float(1 << 53)
     drawn = one.where(unit < min(1.0, sample_rows / n)).select("embedding").toArrow() if n > 64 else one.limit(64).select("embedding").toArrow()
     sample = _unit(drawn.column(0).combine_chunks(), dim)[1] if drawn.num_rows else np.eye(1, dim)
-    shared = spark.sparkContext.broadcast(Quantiser.fit(sample, lists, min(subspaces, dim), codewords))
+    shared = spark.sparkContext.broadcast(Quantiser.fit(sample, lists, min(subspaces, dim), codewords, float(np.sqrt(2 - 2 * threshold))))
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
-                near, code, error = shared.value.encode(_unit(batch.column(2), dim)[1], probes)
-                lists_ = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+                home, code, error, angle = shared.value.encode(_unit(batch.column(2), dim)[1])
                 codes = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]), pa.py_buffer(np.ascontiguousarray(code))])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists_, codes, pa.array(error)], ["id", "times", "embedding", "near", "code", "error"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home), codes, pa.array(error), pa.array(angle)], ["id", "times", "embedding", "home", "code", "error", "angle"])
 
     kind = one.schema["embedding"].dataType.simpleString()
-    indexed = stage(one.select("id", "times", "embedding").mapInArrow(index, f"id bigint, times bigint, embedding {kind}, near array<int>, code binary, error double"), "indexed")
-    own_list = F.element_at("near", 1)
+    indexed = stage(one.select("id", "times", "embedding").mapInArrow(index, f"id bigint, times bigint, embedding {kind}, home int, code binary, error double, angle double"), "indexed")
     # At most ``most_lists`` rows each.
-    members = {r[0]: r[1] for r in indexed.groupBy(own_list).count().collect()}
-    asked = {r[0]: r[1] for r in indexed.select(F.explode("near").alias("l")).groupBy("l").count().collect()}
+    held = indexed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).collect()
+    members, widest = {r["home"]: r["n"] for r in held}, np.full(len(shared.value.coarse), -np.inf)
+    for r in held:
+        widest[r["home"]] = r["angle"]
+
+    def probe(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                near = shared.value.reach(_unit(part.column(1), dim)[1], part.column(2).to_numpy(), widest, threshold)
+                lists_ = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(near.sum(1))), pa.int32()), pa.array(np.nonzero(near)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists_], ["id", "near"])
+
+    probed = stage(indexed.select("id", "embedding", "home").mapInArrow(probe, "id bigint, near array<int>"), "probed")
+    asked = {r[0]: r[1] for r in probed.select(F.explode("near").alias("l")).groupBy("l").count().collect()}
     plan = spark.createDataFrame([(l, -(-m // block), -(-asked[l] // (4 * block))) for l, m in members.items()], "list int, parts int, rounds int")
     plan = F.broadcast(plan)
     salt = lambda seed, n_: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n_)).cast("int")
-    rows = ["id", "times", "embedding", "near", "code", "error"]
-    member = indexed.withColumn("list", own_list).join(plan, "list").select("list", salt(43, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), F.lit(True).alias("member"), *rows)
-    query = indexed.withColumn("list", F.explode("near")).join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt(47, "rounds").alias("round"), F.lit(False).alias("member"), *rows)
+    rows = ["id", "times", "embedding", "home", "code", "error"]
+    member = indexed.withColumn("list", F.col("home")).join(plan, "list").select("list", salt(43, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), F.lit(True).alias("member"), *rows)
+    asking = indexed.join(probed.select(F.col("id").alias("_id"), "near"), F.col("id") == F.col("_id"))
+    query = asking.withColumn("list", F.explode("near")).join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt(47, "rounds").alias("round"), F.lit(False).alias("member"), *rows)
 
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -155,7 +206,7 @@ def _links(one: DataFrame, dim: int, n: int, threshold: float, probes: int, list
         if not len(xs) or not len(qs):
             return none
         here = int(table.column("list")[0].as_py())
-        near = pa.compute.list_flatten(table.column("near").combine_chunks()).to_numpy().reshape(len(ids), -1)
+        home = table.column("home").to_numpy()
         _, v = _unit(table.column("embedding").combine_chunks(), dim)
         q = shared.value
         code = np.frombuffer(b"".join(table.column("code").take(pa.array(xs)).to_pylist()), np.uint8).reshape(len(xs), -1)
@@ -169,11 +220,8 @@ def _links(one: DataFrame, dim: int, n: int, threshold: float, probes: int, list
                 about += look[m, code[:, m]]
             x, y = np.nonzero(about + error[:, None] >= threshold - 1e-9)
             x, y = xs[x], some[y]
-            # A pair is counted in one block: in a shared list by the smaller id's query, else in the smaller of the lists that find it.
-            home = near[y, 0]
-            same = home == here
-            back = (near[x] == home[:, None]).any(1)
-            live = np.where(same, ids[y] < ids[x], (here < home) | ~back)
+            # A pair is counted in one block: within a list by the smaller id's query, else in the list of the larger number.
+            live = (home[y] != here) | (ids[y] < ids[x])
             x, y = x[live], y[live]
             for i in range(0, len(x), 1 << 16):
                 a, b = x[i : i + (1 << 16)], y[i : i + (1 << 16)]

@@ -88,6 +88,20 @@ def test_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905)) and got[51]["component_id"] == 50
 
 
+def test_vectors_of_a_hot_group_over_many_lists(spark):
+    """Every link is found, whether a third of all vectors lies close together or spreads over many lists."""
+    g = np.random.default_rng(7)
+    for spread in (0.02, 0.028):
+        base = g.normal(size=(3000, 64))
+        centre = base[0] / np.linalg.norm(base[0])
+        base[:1000] = centre + g.normal(size=(1000, 64)) * spread
+        rows = [(i, v.tolist()) for i, v in enumerate(base)]
+        got = {r["vec_id"]: r["n_links"] for r in vector_dup.vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), list_rows=10).collect()}
+        u = base / np.linalg.norm(base, axis=1, keepdims=True)
+        want = (u @ u.T >= 0.95).sum(1) - 1
+        assert [got[i] for i in range(3000)] == want.tolist() and want.sum() > 10_000
+
+
 def test_mixing(docs, rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     got = mixing.mix(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
