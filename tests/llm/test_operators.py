@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import brown_lm, decontaminate, html_text, language_id, mixing, near_dup, sharding, suffix_dup, url_filter, vector_dup
+from lodestone.llm import brown_lm, decontaminate, html_text, language_id, mixing, near_dup, sharding, suffix_dup, textbytes, url_filter, vector_dup
 
 R = random.Random(5)
 WORDS = {"en": "the of and house water light river stone".split(), "de": "der und nicht haus wasser licht fluss stein".split()}
@@ -184,6 +185,41 @@ def test_lm(docs, rows):
         assert r["score"] < 0
 
 
+def test_classes_of_words_beyond_the_units(spark):
+    """Words of one shape that are no units still get the classes of their neighbours, from every row."""
+    lines = [f"the n{i}zz now v{(i * 7) % 40}zz so" for i in range(40) for _ in range(3 if i > 1 else 60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "k long, text string")
+    m = brown_lm.fit_classes(rows, hot=20, units=7, classes=6)
+    w, shape = brown_lm._tokens(*textbytes.text_bytes(pa.array(lines, pa.large_string())))
+    of = m.look_up(w.hash, shape)[1].reshape(-1, 5)
+    assert len(set(of[:, 1])) == len(set(of[:, 3])) == 1 and of[0, 1] != of[0, 3]
+
+
+def test_insertion_is_an_exchange_move():
+    """A word's best class is the one that gives the whole table the largest likelihood."""
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    for seed in range(20):
+        g = np.random.default_rng(seed)
+        n, classes = 9, 4
+        pairs = g.integers(0, 5, (n, n)).astype(float)
+        pairs[-1, -1] = 0
+        of = np.append(g.integers(0, classes, n - 1), classes)
+
+        def likelihood(of, pairs=pairs, n=n, classes=classes):
+            m = np.zeros((n, classes + 1))
+            m[np.arange(n), of] = 1
+            t = m.T @ pairs @ m
+            return t, f(t) - f(t.sum(1)) - f(t.sum(0))
+
+        table = likelihood(of)[0]
+        each = [(c, sum(pairs[0, j] for j in range(1, n) if of[j] == c)) for c in range(classes + 1)]
+        each += [(classes + 1 + c, sum(pairs[j, 0] for j in range(1, n) if of[j] == c)) for c in range(classes + 1)] + [(2 * classes + 2, pairs[0, 0])]
+        each = [(c, x) for c, x in each if x]
+        best = brown_lm.insert(table, np.zeros(len(each), np.int64), np.array([c for c, _ in each]), np.array([x for _, x in each]), of[:1])[0]
+        score = [likelihood(np.append(b, of[1:]))[1] for b in range(classes)]
+        assert score[best] >= max(score) - 1e-9
+
+
 def test_sharding(docs, rows):
     got = sharding.shard(docs, shards=4, chunk_groups=7).collect()
     assert len(got) == len(rows)
