@@ -79,7 +79,7 @@ register("tokenize", f"SELECT id, CAST(len(list_distinct({tokens('text')})) AS I
 register("strip_tags", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages", lambda t: t("web_pages").select("page_id", tx.strip_html(F.col("html")).alias("text")))
 register("typo_correct", "WITH q AS (SELECT DISTINCT substring(c_name, 1, 9) || substring(c_name, 11, 6) AS word FROM customer WHERE c_custkey <= 60), d AS (SELECT DISTINCT c_name AS term FROM customer WHERE c_custkey <= 300), m AS (SELECT word, term, levenshtein(word, term) AS d FROM q, d WHERE levenshtein(word, term) <= CASE WHEN length(word) <= 5 THEN 1 WHEN length(word) <= 8 THEN 2 ELSE 3 END AND 1 - levenshtein(word, term)::DOUBLE / GREATEST(length(word), length(term)) >= 0.6), b AS (SELECT word, MIN(lpad(d::VARCHAR, 3, '0') || term) AS x FROM m GROUP BY 1) SELECT word, substring(x, 4) AS term, CAST(substring(x, 1, 3) AS INT) AS distance, CASE CAST(substring(x, 1, 3) AS INT) WHEN 0 THEN 0.95::DOUBLE WHEN 1 THEN 0.88::DOUBLE WHEN 2 THEN 0.72::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM b", lambda t: tx.typo_candidates(t("customers").where("c_custkey <= 60").select(F.concat(F.substring("c_name", 1, 9), F.substring("c_name", 11, 6)).alias("word")), t("customers").where("c_custkey <= 300").select(F.col("c_name").alias("term"))).withColumn("confidence", F.col("confidence").cast("double")))
 register("intent_detect", "WITH s(intent, word, weight) AS (VALUES " + ", ".join(f"('{i}', '{w}', {x}::DOUBLE)" for i, ws in tx.INTENTS.items() for w, x in ws.items()) + "), q AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'buy cheap phone' WHEN 1 THEN 'how to fix a phone' WHEN 2 THEN 'a vs b best' WHEN 3 THEN 'learn what to buy' ELSE 'phone' END AS text FROM customer), w AS (SELECT id, UNNEST(string_split(lower(text), ' ')) AS word FROM q), m AS (SELECT id, intent, SUM(weight) AS w FROM w JOIN s USING (word) GROUP BY 1, 2), b AS (SELECT id, arg_max(intent, (w, intent)) AS intent, MAX(w) / SUM(w) AS confidence FROM m GROUP BY 1) SELECT q.id, CASE WHEN COALESCE(confidence >= 0.3, FALSE) THEN intent ELSE 'general' END AS intent, ROUND(COALESCE(confidence, 0.0::DOUBLE), 4) AS confidence FROM q LEFT JOIN b USING (id)", lambda t: tx.intent(t("customers").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, "buy cheap phone").when(F.col("c_custkey") % 5 == 1, "how to fix a phone").when(F.col("c_custkey") % 5 == 2, "a vs b best").when(F.col("c_custkey") % 5 == 3, "learn what to buy").otherwise("phone").alias("text"))))
-register("language_class", None, lambda t: t("s_entries").groupBy(tx.language_class(F.substring("text", 1, 60)).alias("class")).agg(F.count(F.lit(1)).alias("n")))
+register("language_class", None, lambda t: t("s_entries").groupBy(tx.language_class(F.col("text")).alias("class")).agg(F.count(F.lit(1)).alias("n")))
 register("visibility_filter", "SELECT id FROM s_entries e WHERE id % 3 <> 0 OR id % 6 = 0", lambda t: access.visible_to(t("s_entries").select("id"), t("s_entries").where("id % 3 = 0").select(F.col("id").alias("entry_id"), F.when(F.col("id") % 6 == 0, "basic").otherwise("gold").alias("feature")), t("customers").limit(1).select(F.lit(7).alias("user_id"), F.lit("basic").alias("feature")), 7))
 
 # Events (windows are an extension)
