@@ -2,18 +2,19 @@
 
 A page becomes blocks of text. What markup names a menu, header, footer,
 sidebar, notice, advert, form or comment is left out, and where a page marks its
-article, the rest of the page is no candidate. The blocks outside articles form
-the host's token stream. Suffixes of the stream are ordered by their first
-``run`` tokens; equal neighbours from distinct pages are repeated runs, whose
-tokens are boilerplate. Since only equality to that depth matters, equal
-suffixes meet by a hash aggregate over (host, suffix head), which holds for a
-host of any size. On a page without a marked article the uncovered tokens of
-its unmarked blocks are the text.
+article, the rest of the page is no candidate. All blocks of all pages form the
+host's token stream. Suffixes of the stream are ordered by their first ``run``
+tokens, and a run is repeated by its spread: in how many distinct page contents
+of the host it stands. Since only equality to that depth matters, equal suffixes
+meet in buckets of the hash of (host, suffix head), which hold for a host of any
+size. A run is boilerplate if it stands in ``share`` of the host's contents and
+in three of them at least, or in both of two. The uncovered tokens of the
+candidate blocks are the text.
 
 Defined results: null or empty html gives empty text. Character references are
 decoded once. ``br`` is white space. An unclosed script or style runs to the
-end, as in browsers. Repeated rows are one page as long as their page_id is
-equal, so they cover nothing of each other. Null page_ids are pages of one id.
+end, as in browsers. Rows of a host with equal candidate text are one content,
+so copies cover nothing of each other, whatever their page_id.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
-from .textbytes import SOLID, VALUES, shingles, text_bytes, words
+from .textbytes import SOLID, VALUES, mix, shingles, text_bytes, words
 from .url_filter import host_and_path
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
@@ -106,22 +107,22 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, text of marked articles (null without one), and the blocks outside articles with their bar."""
+    """page_id, url, host, text (the candidate blocks, a line each) and the other blocks' texts."""
 
     def read(batches):
         for batch in batches:
             texts, rest = [], []
             for page in batch.column(3).to_pylist():
                 found = blocks(page)
-                inside = [t for t, main, barred in found if main and not barred]
-                texts.append("\n".join(inside) if inside else None)
-                rest.append([{"text": t, "barred": barred} for t, main, barred in found if not main])
-            kind = pa.list_(pa.struct([("text", pa.string()), ("barred", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(texts, pa.string()), pa.array(rest, kind)], ["page_id", "url", "host", "text", "rest"])
+                marked = any(main and not barred for _, main, barred in found)
+                chosen = [not barred and main == marked for _, main, barred in found]
+                texts.append("\n".join(b[0] for b, c in zip(found, chosen, strict=True) if c))
+                rest.append([b[0] for b, c in zip(found, chosen, strict=True) if not c])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "host", "text", "rest"])
 
     host, _ = host_and_path(F.col("url"))
     page_id = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(read, f"page_id {page_id}, url string, host string, text string, rest array<struct<text: string, barred: boolean>>")
+    return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(read, f"page_id {page_id}, url string, host string, text string, rest array<string>")
 
 
 def _heads(text: str, run: int) -> np.ndarray:
@@ -129,54 +130,88 @@ def _heads(text: str, run: int) -> np.ndarray:
     return shingles(words(*text_bytes(pa.array([text])), SOLID, VALUES), run)[1]
 
 
-def extract(pages: DataFrame, *, run: int = 6) -> DataFrame:
+def _keys(head: np.ndarray, host: np.ndarray | np.uint64) -> np.ndarray:
+    """One key for a host's hash and a suffix head."""
+    return mix(head ^ host)
+
+
+def extract(pages: DataFrame, *, run: int = 6, share: float = 0.2, bucket_pages: int = 1000) -> DataFrame:
     """page_id, url and text of every page."""
-    parsed = stage(parse(pages), "parsed")
+    parsed = parse(pages).withColumn("hk", F.xxhash64(F.lit(53), "host")).withColumn("content", F.xxhash64(F.lit(59), "host", "text"))
+    parsed = stage(parsed.drop("host"), "parsed")
+    buckets = 1 << max(5, int(np.ceil(np.log2(parsed.count() / bucket_pages + 1))))
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def suffixes(batches):
-        for batch in batches:
-            listed = [rest or [] for rest in batch.column(2).to_pylist()]
-            page = np.repeat(np.arange(len(listed)), [len(rest) for rest in listed])
-            if not len(page):
-                continue
-            block, head = shingles(words(*text_bytes(pa.array([b["text"] for rest in listed for b in rest], pa.large_string())), SOLID, VALUES), run)
-            row = page[block]
-            order = np.lexsort((head, row))
-            row, head = row[order], head[order]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (head[1:] != head[:-1])])[: len(row)]
-            row, head = pa.array(row[new]), head[new]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(head.view(np.int64))], ["page_id", "host", "head"])
-
-    page_id = pages.schema["page_id"].dataType.simpleString()
-    kind = f"page_id {page_id}, host string, head bigint"
-    found = parsed.where(F.size("rest") > 0).select("page_id", "host", "rest").mapInArrow(suffixes, kind)
-    key = F.xxhash64("host", "head").alias("key")
-    repeated = found.select("page_id", key).groupBy("key").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi").select("key")
-    # Only pages without a marked article ask which of their runs are repeated.
-    asking = parsed.where(F.col("text").isNull() & (F.size(F.filter("rest", lambda b: ~b["barred"])) > 0))
-    asked = asking.select("page_id", "host", F.filter("rest", lambda b: ~b["barred"]).alias("rest")).mapInArrow(suffixes, kind)
-    covered = asked.select("page_id", "head", key).join(repeated, "key").groupBy("page_id").agg(F.collect_set("head").alias("heads"))
-    # Marked articles are done; only the open pages' candidate blocks travel to meet their repeated runs.
-    marked = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    judged = parsed.where(F.col("text").isNull()).select("page_id", "url", "text", F.filter("rest", lambda b: ~b["barred"]).alias("rest")).join(covered, "page_id", "left")
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            host, content = (batch.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+            parts = []
+            for i, listed in enumerate((batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                # A candidate text has a block a line.
+                listed = [(t.split("\n") if t else []) for t in listed] if i == 0 else [t or [] for t in listed]
+                page = np.repeat(np.arange(len(listed)), [len(t) for t in listed])
+                if len(page):
+                    block, head = shingles(words(*text_bytes(pa.array([b for t in listed for b in t], pa.large_string())), SOLID, VALUES), run)
+                    parts.append((page[block], _keys(head, host[page[block]]), np.full(len(head), 1 - i, np.uint8)))
+            # The host's own key stands in each content once: its spread is the number of the host's contents.
+            parts.append((np.arange(len(host)), mix(host), np.full(len(host), 2, np.uint8)))
+            row, key, kind = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            order = np.lexsort((3 - kind, row, key))
+            row, key, kind = row[order], key[order], kind[order]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+            row, key, kind = row[new], key[new], kind[new]
+            bucket = (key >> shift).astype(np.int64)
+            order = np.lexsort((row, bucket))
+            row, key, kind, bucket = row[order], key[order], kind[order], bucket[order]
+            # Keys of a page lie together, so that its content is named once.
+            edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+            size = np.diff(np.append(edge, len(row))).astype(np.int32)
+            first = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            cut = np.searchsorted(edge, first)
+            at = list(zip(first[:-1], first[1:], cut[:-1], cut[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, *_ in at], pa.int32()), pa.array([key[i:j].tobytes() for i, j, *_ in at], pa.binary()), pa.array([kind[i:j].tobytes() for i, j, *_ in at], pa.binary()), pa.array([content[row[edge[k:m]]].tobytes() for *_, k, m in at], pa.binary()), pa.array([size[k:m].tobytes() for *_, k, m in at], pa.binary())], ["bucket", "key", "kind", "content", "size"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        """The spread of every key that stands in two contents or more, for each content that asks."""
+        def whole(name, t):
+            return np.frombuffer(b"".join(table.column(name).to_pylist()), t)
+
+        key, kind = whole("key", np.uint64), whole("kind", np.uint8)
+        content = np.repeat(whole("content", np.uint64), whole("size", np.int32))
+        order = np.lexsort((3 - kind, content, key))
+        key, kind, content = key[order], kind[order], content[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])[: len(key)]
+        key, kind, content = key[new], kind[new], content[new]
+        _, number, n = np.unique(key, return_inverse=True, return_counts=True)
+        live = (n[number] > 1) & (kind > 0)
+        return pa.table([pa.array(content[live].view(np.int64)), pa.array(key[live].view(np.int64)), pa.array(n[number][live]), pa.array(kind[live] == 2)], ["content", "key", "n", "host"])
+
+    dealt = parsed.select("text", "rest", "hk", "content").mapInArrow(suffixes, "bucket int, key binary, kind binary, content binary, size binary")
+    met = stage(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "content bigint, key bigint, n bigint, host boolean"), "met")
+    sizes = met.where("host").select(F.col("content").alias("_content"), F.col("n").alias("contents"))
+    least = F.least("contents", F.greatest(F.lit(3), F.ceil(F.col("contents") * share)))
+    repeated = met.where(~F.col("host")).join(sizes, F.col("content") == F.col("_content")).where(F.col("n") >= least)
+    covered = stage(repeated.groupBy("content").agg(F.collect_set("key").alias("keys")), "covered").withColumnRenamed("content", "_content")
+    judged = parsed.select("page_id", "url", "text", "hk", "content").join(covered, F.col("content") == F.col("_content"), "left").select("page_id", "url", "text", "hk", "keys")
 
     def finish(batches):
         for batch in batches:
             texts = []
-            for text, listed, heads in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if text is None:
-                    known = np.array(heads or [], np.int64).view(np.uint64)
-                    text = "\n".join(t for t in (_uncovered(b["text"], known, run) for b in listed or [] if not b["barred"]) if t)
+            host = batch.column(3).to_numpy().view(np.uint64)
+            for text, hk, keys in zip(batch.column(2).to_pylist(), host, batch.column(4).to_pylist(), strict=True):
+                if keys:
+                    known = np.array(keys, np.int64).view(np.uint64)
+                    text = "\n".join(t for t in (_uncovered(b, hk, known, run) for b in text.split("\n")) if t)
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    open_ = judged.select("page_id", "url", "text", "rest", "heads").mapInArrow(finish, f"page_id {page_id}, url string, text string")
-    return marked.unionByName(open_)
+    page_id = pages.schema["page_id"].dataType.simpleString()
+    return judged.mapInArrow(finish, f"page_id {page_id}, url string, text string")
 
 
-def _uncovered(text: str, heads: np.ndarray, run: int) -> str:
+def _uncovered(text: str, host: np.uint64, keys: np.ndarray, run: int) -> str:
     tokens = text.split(" ")
-    hit = np.isin(_heads(text, run), heads)
+    hit = np.isin(_keys(_heads(text, run), host), keys)
     if not hit.any():
         return text
     cover = np.zeros(len(tokens) + 1, np.int64)

@@ -168,6 +168,16 @@ def test_html(spark):
     assert got == {1: "A & B\nOne two\nThree", 2: "own text of page alpha", 3: "own text of page beta", 4: "", 5: ""}
 
 
+def test_html_boilerplate_within_articles(spark):
+    """A line that most articles of a host repeat goes; a passage of two of them, and copies of a page, stay."""
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    line, quoted = "please share this story with all your friends", "to be or not to be that is the question"
+    body = lambda i: f"<body><main><p>{own(i)}</p><p>{line}</p>" + (f"<p>{quoted}</p>" if i < 2 else "") + "</main></body>"
+    rows = [(i, f"http://a/{i}", body(i)) for i in range(8)] + [(20 + i, f"http://b/{i}", body(0)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own(i) + (f"\n{quoted}" if i < 2 else "") for i in range(8)} | {20 + i: f"{own(0)}\n{line}\n{quoted}" for i in range(4)}
+
+
 def test_lm(docs, rows):
     from collections import Counter
     from math import log10
