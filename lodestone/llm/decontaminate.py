@@ -200,6 +200,21 @@ def verdict(n_hit: Column, n_words: Column, share: int) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
+def _judged_texts(keyed: DataFrame, parts: list[Block]) -> DataFrame:
+    """(_key, n_words, n_hit, items) of every distinct text (_key, text), over several blocks; no hits and items where none is found."""
+    # Runs of several blocks may overlap: mark words, so that each counts once.
+    texts = keyed.groupBy("_key").agg(F.any_value("text").alias("text"))
+    each = None
+    for part in parts:
+        hits = phrase_hits(texts, part, keep=["_key"])
+        hits = hits.where(F.size("items") > 0)
+        each = hits if each is None else each.unionByName(hits)
+    spans = each.select("_key", "items", F.explode(F.flatten(F.transform(F.arrays_zip("hit_from", "hit_to"), lambda x: F.sequence(x["hit_from"], x["hit_to"] - 1)))).alias("at"))
+    merged = spans.groupBy("_key").agg(F.countDistinct("at").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    counts = phrase_hits(texts, Block(np.zeros(0, np.uint64), [], [], []), keep=["_key"]).select("_key", "n_words")
+    return counts.join(merged, "_key", "left")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, block_words: int = 200_000) -> DataFrame:
     """One row a document: its words, hit words, items found, and the verdict n_hit * share >= n_words."""
     found = None
@@ -209,18 +224,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
         found = phrase_hits(own, parts[0], keep=["doc_id"])
         found = found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.array_sort("items").alias("items"))
     else:
-        # Runs of several blocks may overlap: mark words, so that each counts once.
         keyed = own.withColumn("_key", F.sha2("text", 256))
-        texts = keyed.groupBy("_key").agg(F.any_value("text").alias("text"))
-        each = None
-        for part in parts:
-            hits = phrase_hits(texts, part, keep=["_key"])
-            hits = hits.where(F.size("items") > 0)
-            each = hits if each is None else each.unionByName(hits)
-        spans = each.select("_key", "items", F.explode(F.flatten(F.transform(F.arrays_zip("hit_from", "hit_to"), lambda x: F.sequence(x["hit_from"], x["hit_to"] - 1)))).alias("at"))
-        merged = spans.groupBy("_key").agg(F.countDistinct("at").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        counts = phrase_hits(texts, Block(np.zeros(0, np.uint64), [], [], []), keep=["_key"]).select("_key", "n_words")
-        merged = counts.join(merged, "_key", "left")
+        merged = _judged_texts(keyed, parts)
         none = F.array().cast("array<string>")
         found = keyed.select("doc_id", "_key").join(merged, "_key", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
     return found.withColumn("contaminated", verdict(F.col("n_hit"), F.col("n_words"), share))
@@ -231,11 +236,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int
     parts = list(blocks(benchmark, window, block_words))
     if not parts:
         return docs
-    if len(parts) > 1:
-        bad = decontaminate(docs, benchmark, window=window, share=share, block_words=block_words).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = f"c{names.index('text')}"
+    if len(parts) > 1:
+        # By the text, not by doc_id: ids may be null or shared.
+        keyed = plain.withColumn("_key", F.sha2(at, 256))
+        judged = _judged_texts(keyed.select("_key", F.col(at).alias("text")), parts)
+        bad = judged.where(verdict(F.col("n_hit"), F.col("n_words"), share)).select("_key")
+        return keyed.join(bad, "_key", "left_anti").select(*plain.columns).toDF(*names)
     found = phrase_hits(plain, parts[0], keep=plain.columns, text=at)
     return found.where(~verdict(hit_words(), F.col("n_words"), share)).select(*plain.columns).toDF(*names)

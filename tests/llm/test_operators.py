@@ -160,6 +160,18 @@ def test_decontamination(spark, docs, rows):
     assert clean.columns == docs.columns and clean.where("doc_id = 5").count() == 0 and clean.where("doc_id = 100").count() == 1
 
 
+def test_clean_judges_rows_and_not_ids(spark):
+    """However many blocks the benchmark has, a contaminated row goes, whatever its id, and no other."""
+    item = " ".join(f"b{i}" for i in range(20))
+    other = " ".join(f"c{i}" for i in range(20))
+    rows = [(None, item), (None, "plain words"), (1, other), (1, "more plain words"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    for block_words in (200_000, 1):
+        got = decontaminate.clean(docs, bench, block_words=block_words).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, "plain words"), (1, "more plain words"), (2, None), (3, "")]))
+
+
 def test_html(spark):
     page = '<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One\n two<br><p>Three</p><div class="comments">Nice</div></article><footer>F</footer>'
     shared = "<body><div>one two three four five six seven</div><p>own text of page {}</p></body>"
