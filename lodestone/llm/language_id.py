@@ -23,31 +23,59 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import id_crc
+from .common import id_crc, stage
+from .textbytes import text_bytes
 
 UNDECIDED = "und"
 _HASHES = 3
-_CHUNK = 1 << 20
-_letters: list[np.ndarray] = []
+#: Bytes of text that are worked on at once, whatever the length of a text.
+_SEGMENT = 128 << 10
+_folded: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+def _fold() -> np.ndarray:
+    """Each letter's lower case; a space for every other sign."""
+    if not _folded:
+        signs = (chr(c) for c in range(0x110000))
+        _folded.append(np.fromiter((ord(c.lower()[0]) if c.isalpha() else 0x20 for c in signs), np.uint32, 0x110000))
+    return _folded[0]
 
 
-def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """For every letter: its row, and the letter with both neighbours; other signs count as a space."""
-    low = [(t or "").lower() for t in texts]
-    size = np.fromiter(map(len, low), np.int64, len(low))
-    code = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le"), np.uint32)
-    letter = _is_letter()[code]
-    code = np.where(letter, code, np.uint32(0x20)).astype(np.uint64)
-    at = np.flatnonzero(letter)
-    key = (code[at - 1] << np.uint64(42)) | (code[at] << np.uint64(21)) | code[at + 1]
-    row = np.searchsorted(np.cumsum(size + 1) + 1, at, "right")
-    return row, key
+def _signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and folded code point of each sign of UTF-8 bytes; a byte that begins no sign is none."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[at].astype(np.uint32)
+    wide = np.flatnonzero(code >= 0xC0)
+    if len(wide):
+        lead, full = code[wide], np.append(data, np.zeros(3, np.uint8))
+        one, two, three = (full[at[wide] + i].astype(np.uint32) & 0x3F for i in (1, 2, 3))
+        long = np.where(lead < 0xF0, (lead & 0x0F) << 12 | one << 6 | two, (lead & 0x07) << 18 | one << 12 | two << 6 | three)
+        code[wide] = np.minimum(np.where(lead < 0xE0, (lead & 0x1F) << 6 | one, long), 0x10FFFF)
+    return at, _fold()[code]
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every letter: its row, and the letter with both neighbours; other signs and a text's ends count as a space.
+
+    Works through the bytes in segments, so a text may be of any length.
+    """
+    bounds = offsets[np.diff(offsets, append=len(data)) > 0] if len(offsets) else offsets
+    low = 0
+    while low < len(data):
+        high = min(low + _SEGMENT, len(data))
+        # With a whole sign more on each side: no sign has over four bytes.
+        left, right = max(low - 4, 0), min(high + 8, len(data))
+        at, code = _signs(data[left:right])
+        at = at + left
+        edge = np.searchsorted(at, bounds[np.searchsorted(bounds, left) : np.searchsorted(bounds, right)])
+        before, after = np.full(len(code), 0x20, np.uint32), np.full(len(code), 0x20, np.uint32)
+        before[1:], after[:-1] = code[:-1], code[1:]
+        before[edge[edge < len(code)]] = 0x20
+        after[edge[edge > 0] - 1] = 0x20
+        own = np.flatnonzero((code != 0x20) & (at >= low) & (at < high))
+        key = before[own].astype(np.uint64) << np.uint64(42) | code[own].astype(np.uint64) << np.uint64(21) | after[own].astype(np.uint64)
+        yield np.searchsorted(offsets, at[own], "right") - 1, key
+        low = high
 
 
 def _slots(key: np.ndarray, rows: int) -> Iterator[np.ndarray]:
@@ -60,18 +88,6 @@ def _slots(key: np.ndarray, rows: int) -> Iterator[np.ndarray]:
         yield ((a + np.uint64(i) * b) * np.uint64(0x94D049BB133111EB)) >> shift
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about _CHUNK characters together."""
-    i, total = 0, 0
-    for j, t in enumerate(texts):
-        total += len(t or "") + 1
-        if total >= _CHUNK:
-            yield i, j + 1
-            i, total = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
-
-
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -81,22 +97,23 @@ class LanguageModel:
     #: Share of a language's own trigrams that its filter was built to hold.
     coverage: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         n, size = len(texts), len(self.languages)
         count, hits = np.zeros(n), np.zeros((n, size))
-        for i, j in _parts(texts):
-            row, key = _grams(texts[i:j])
-            if not size or not len(key):
+        for row, key in _grams(*text_bytes(texts)):
+            if not len(key):
                 continue
-            count[i:j] = np.bincount(row, minlength=j - i)
-            for w in range(self.slices.shape[1]):
+            low, high = int(row[0]), int(row[-1]) + 1
+            row -= low
+            count[low:high] += np.bincount(row, minlength=high - low)
+            for w in range(self.slices.shape[1] if size else 0):
                 mask = None
                 for slot in _slots(key, len(self.slices)):
                     got = self.slices[slot, w]
                     mask = got if mask is None else mask & got
                 for lang in range(64 * w, min(size, 64 * w + 64)):
                     bit = mask.dtype.type(1 << (lang - 64 * w))
-                    hits[i:j, lang] = np.bincount(row[(mask & bit) != 0], minlength=j - i)
+                    hits[low:high, lang] += np.bincount(row[(mask & bit) != 0], minlength=high - low)
         if not size:
             return [UNDECIDED] * n, np.zeros(n), count
         n_grams = np.maximum(count, 1)[:, None]
@@ -127,23 +144,20 @@ def train(docs: DataFrame, *, sample_rows: int = 8000, min_share: float = 2e-5,
 
     def count(batches):
         for batch in batches:
-            langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-            for i, j in _parts(texts):
-                row, grams = _grams(texts[i:j])
-                own = langs[i:j]
-                for name in set(own):
-                    keys, n = np.unique(grams[(own == name)[row]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            names, own = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+            for row, grams in _grams(*text_bytes(batch.column(1))):
+                for i in np.unique(own[row]):
+                    keys, n = np.unique(grams[own[row] == i], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     counted = rows.where(unit < limit).select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
+    counted = stage(counted, "trigrams")
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     least = F.lit(0)
     for name in languages:
         least = F.when(F.col("lang") == name, F.lit(max(2.0, min_share * totals[name]))).otherwise(least)
     kept = counted.where(F.col("n") >= least).toPandas()
-    counted.unpersist()
     kept["f"] = kept["n"] / kept["lang"].map(totals)
     kept = kept[kept["f"] >= min_ratio * kept.groupby("gram")["f"].transform("max")]
     most = max(1, int(kept.groupby("lang").size().max() if len(kept) else 1))
@@ -170,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
 
     def judge(batches):
         for batch in batches:
-            names, score, n = shared.value.predict(batch.column(at).to_pylist())
+            names, score, n = shared.value.predict(batch.column(at))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score), pa.array(n.astype(np.int64))], schema.names)
 
     return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(judge, schema)
