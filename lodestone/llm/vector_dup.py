@@ -5,28 +5,34 @@ list's centroid is coded in subspaces. A query looks up its inner products with
 all codewords once and adds them by code (asymmetric distance). Every member
 carries the length of its coding error, which bounds how far that sum is off, so
 the filter loses nothing; what passes is decided by the exact cosine in double
-precision. A query probes every list that can hold a link of it: the list's
-widest angle from its centroid must reach the query's neighbourhood, and so must
-the half-space in which the list's centroid is nearer than the query's own. Both
-bounds are necessary for a link, so one direction finds a pair: from the list of
-the smaller number to the other. Centroids closer than a link's length become
-one, so that a group of near vectors is one list (of many blocks) rather than
-many lists that all probe each other.
-
-Both quantisers are fitted on at most about ``sample_rows`` vectors chosen by a
-hash of the id; every vector is indexed and every vector is a query. Equal
+precision. Probing loses nothing either: two linked vectors lie at most a
+chord apart, and the plane half-way between their lists' centroids parts them,
+so one of them is within half a chord of that plane. Every query therefore
+probes each list whose plane is that near, as long as the list's widest angle
+from its centroid allows a link at all; of a pair that finds itself twice, the
+vector nearer to the plane counts it. Centroids closer than a link's length
+become one, so that a group of near vectors is one list (of many blocks) rather
+than many lists that all probe each other.
+
+Both quantisers are fitted on about ``sample_rows`` vectors chosen by a hash of
+their number (four for each list, if those are more); there is a list for every
+``list_rows`` vectors, beyond ``most_lists`` lists one for each of the square
+root of all vectors. Every vector is indexed and every vector is a query. Equal
 vectors are indexed once. A list is cut into blocks of members and of queries,
 so a hot list is many tasks; a block reports link counts and a spanning forest
 of its links, never the pairs.
 
 Defined results: vectors that are null, zero or hold null or non-finite parts
 link with nothing and are kept. Vectors of different lengths link with nothing
-of another length. Rows that repeat a vec_id are vectors of their own in counts.
-Null ids are left out of links, with a null component. Labels are not read.
+of another length. Rows that repeat a vec_id are vectors of their own, in links
+and in counts. Null ids are left out of links, with a null component. A table of
+no vectors gives no rows. ``vec_id`` is an integer. Other columns, labels among
+them, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,28 +107,29 @@ class Quantiser:
     def _directions(self) -> np.ndarray:
         return self.coarse / np.maximum(np.sqrt((self.coarse**2).sum(1, keepdims=True)), 1e-300)
 
+    def margin(self, x: np.ndarray, home: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Distance of each vector from the plane half-way between its list's centroid and another's."""
+        way = self.coarse[other] - self.coarse[home]
+        gap = np.einsum("ij,ij->i", self.coarse[other] + self.coarse[home] - 2 * x, way)
+        return gap / (2 * np.sqrt(np.einsum("ij,ij->i", way, way)))
+
     def reach(self, x: np.ndarray, home: np.ndarray, widest: np.ndarray, threshold: float) -> np.ndarray:
-        """(queries, lists): whether a list of no smaller number than the own one can hold a vector of cosine ``threshold``.
+        """(queries, lists): the lists that each query has to probe.
 
         ``widest`` has each list's largest angle between a member and its centroid, negative without members.
         """
-        c, turn = self.coarse, np.arccos(threshold)
-        square = (c**2).sum(1)
-        dot = x @ c.T
-        own = dot[np.arange(len(x)), home]
-        near = _angle(x @ self._directions().T) <= widest + turn + 1e-7
-        # A member v of list l has v . g >= s with g = 2 (c_l - c_home); the largest v . g within the angle of x must come up to s.
-        along = 2 * (dot - own[:, None])
-        length = 2 * np.sqrt(np.maximum(square + square[home][:, None] - 2 * (c @ c.T)[home], 0))
-        most = threshold * along + np.sin(turn) * np.sqrt(np.maximum(length**2 - along**2, 0))
-        most = np.where(along >= threshold * length, length, most)
-        near &= most >= square - square[home][:, None] - 1e-9
+        c, turn, chord = self.coarse, np.arccos(threshold), np.sqrt(2 - 2 * threshold)
+        square, dot = (c**2).sum(1), x @ c.T
+        gap = square - 2 * dot - (square[home] - 2 * dot[np.arange(len(x)), home])[:, None]
+        length = np.sqrt(np.maximum(square + square[home][:, None] - 2 * (c[home] @ c.T), 0))
+        near = gap <= chord * length + 1e-6
+        near &= _angle(x @ self._directions().T) <= widest + turn + 1e-7
         near[np.arange(len(x)), home] = True
-        return near & (widest >= 0) & (np.arange(len(c)) >= home[:, None])
+        return near & (widest >= 0)
 
     def table(self, q: np.ndarray) -> np.ndarray:
         """(subspaces, codewords, queries): inner products of each query's parts with each codeword."""
-        return np.einsum("qmw,mkw->mkq", self._cut(q, len(self.books)), self.books)
+        return np.einsum("qmw,mkw->mkq", self._cut(q, len(self.books)), self.books, optimize=True).astype(np.float32)
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,26 +139,31 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
 
 
-def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, list_rows: int = 256, most_lists: int = 4096, subspaces: int = 16, codewords: int = 64, sample_rows: int = 16_000, block: int = 512) -> DataFrame:
+def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, list_rows: int = 256, most_lists: int = 4096, subspaces: int = 8, codewords: int = 256, sample_rows: int = 16_000, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
     key = F.unhex(F.md5(F.concat_ws(",", F.col("embedding").cast("array<string>")).cast("binary")))
     keyed = stage(own.withColumn("key", F.when(F.coalesce(sound, F.lit(False)), key)), "vectors")
-    one = stage(keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("times"), F.any_value("embedding").alias("embedding")), "distinct")
+    one = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"), F.any_value("embedding").alias("embedding"))
+    # A number of its own for each distinct vector: several may share a vec_id.
+    one = stage(one.withColumn("id", F.monotonically_increasing_id()), "distinct")
     sizes = one.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a length
     found = None
     for r in sizes:
-        part = _links(one.where(F.size("embedding") == r["dim"]), r["dim"], r["n"], threshold, max(1, min(most_lists, r["n"] // list_rows)), subspaces, codewords, sample_rows, block)
+        lists = max(1, min(r["n"] // list_rows, max(most_lists, math.isqrt(r["n"]))))
+        part = _links(one.where(F.size("embedding") == r["dim"]), r["dim"], r["n"], threshold, lists, subspaces, codewords, max(sample_rows, 4 * lists), block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = stage(found, "found")
     counts = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
-    group = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cid")
-    classes = one.select("key", "id", "times").join(counts, "id", "left").join(group, F.col("id") == F.col("cid"), "left")
-    classes = classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    group = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), F.col("component").alias("number"))
+    linked = stage(one.select("key", "id", "least", "times").join(counts, "id", "left").join(group, F.col("id") == F.col("cid"), "left"), "linked")
+    names = linked.where("number is not null").groupBy(F.col("number").alias("named")).agg(F.min("least").alias("component_id"))
+    classes = linked.join(names, F.col("number") == F.col("named"), "left")
+    classes = classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = keyed.select("vec_id", "key").join(classes, "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
@@ -159,7 +171,7 @@ def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, list_rows:
 def _links(one: DataFrame, dim: int, n: int, threshold: float, lists: int, subspaces: int, codewords: int, sample_rows: int, block: int) -> DataFrame:
     """(id, n, root): link counts, and edges to the root of each block's spanning trees."""
     spark = one.sparkSession
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(41), "id"), 11).cast("double") / float(1 << 53)
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(41), "key"), 11).cast("double") / float(1 << 53)
     drawn = one.where(unit < min(1.0, sample_rows / n)).select("embedding").toArrow() if n > 64 else one.limit(64).select("embedding").toArrow()
     sample = _unit(drawn.column(0).combine_chunks(), dim)[1] if drawn.num_rows else np.eye(1, dim)
     shared = spark.sparkContext.broadcast(Quantiser.fit(sample, lists, min(subspaces, dim), codewords, float(np.sqrt(2 - 2 * threshold))))
@@ -173,7 +185,7 @@ def _links(one: DataFrame, dim: int, n: int, threshold: float, lists: int, subsp
 
     kind = one.schema["embedding"].dataType.simpleString()
     indexed = stage(one.select("id", "times", "embedding").mapInArrow(index, f"id bigint, times bigint, embedding {kind}, home int, code binary, error double, angle double"), "indexed")
-    # At most ``most_lists`` rows each.
+    # One row a list.
     held = indexed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).collect()
     members, widest = {r["home"]: r["n"] for r in held}, np.full(len(shared.value.coarse), -np.inf)
     for r in held:
@@ -181,8 +193,8 @@ def _links(one: DataFrame, dim: int, n: int, threshold: float, lists: int, subsp
 
     def probe(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 near = shared.value.reach(_unit(part.column(1), dim)[1], part.column(2).to_numpy(), widest, threshold)
                 lists_ = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(near.sum(1))), pa.int32()), pa.array(np.nonzero(near)[1], pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists_], ["id", "near"])
@@ -193,9 +205,10 @@ def _links(one: DataFrame, dim: int, n: int, threshold: float, lists: int, subsp
     plan = F.broadcast(plan)
     salt = lambda seed, n_: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n_)).cast("int")
     rows = ["id", "times", "embedding", "home", "code", "error"]
+    bare = ["id", "times", "embedding", "home", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error")]
     member = indexed.withColumn("list", F.col("home")).join(plan, "list").select("list", salt(43, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), F.lit(True).alias("member"), *rows)
     asking = indexed.join(probed.select(F.col("id").alias("_id"), "near"), F.col("id") == F.col("_id"))
-    query = asking.withColumn("list", F.explode("near")).join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt(47, "rounds").alias("round"), F.lit(False).alias("member"), *rows)
+    query = asking.withColumn("list", F.explode("near")).join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt(47, "rounds").alias("round"), F.lit(False).alias("member"), *bare)
 
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -210,24 +223,31 @@ def _links(one: DataFrame, dim: int, n: int, threshold: float, lists: int, subsp
         _, v = _unit(table.column("embedding").combine_chunks(), dim)
         q = shared.value
         code = np.frombuffer(b"".join(table.column("code").take(pa.array(xs)).to_pylist()), np.uint8).reshape(len(xs), -1)
-        error = table.column("error").to_numpy()[xs]
+        error = table.column("error").take(pa.array(xs)).to_numpy().astype(np.float32)
         pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(qs), 256):
             some = qs[at : at + 256]
             look = q.table(v[some])
-            about = np.tile(v[some] @ q.coarse[here], (len(xs), 1))
+            about = np.tile((v[some] @ q.coarse[here]).astype(np.float32), (len(xs), 1))
             for m in range(look.shape[0]):
                 about += look[m, code[:, m]]
-            x, y = np.nonzero(about + error[:, None] >= threshold - 1e-9)
+            # Sums in single precision are off by far less than the allowance.
+            x, y = np.nonzero(about + error[:, None] >= threshold - 1e-4)
             x, y = xs[x], some[y]
-            # A pair is counted in one block: within a list by the smaller id's query, else in the list of the larger number.
             live = (home[y] != here) | (ids[y] < ids[x])
             x, y = x[live], y[live]
             for i in range(0, len(x), 1 << 16):
                 a, b = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
                 close = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
-                pairs_a.append(a[close])
-                pairs_b.append(b[close])
+                a, b = a[close], b[close]
+                # A pair of two lists is counted by the vector nearer to the plane between them.
+                two = np.flatnonzero(home[b] != here)
+                here_, there = np.full(len(two), here), home[b[two]]
+                asker, member_ = q.margin(v[b[two]], there, here_), q.margin(v[a[two]], here_, there)
+                keep = np.ones(len(a), bool)
+                keep[two] = (asker < member_) | ((asker == member_) & (ids[b[two]] < ids[a[two]]))
+                pairs_a.append(a[keep])
+                pairs_b.append(b[keep])
         a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
         if not len(a):
             return none

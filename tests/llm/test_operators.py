@@ -103,6 +103,13 @@ def test_vectors_of_a_hot_group_over_many_lists(spark):
         assert [got[i] for i in range(3000)] == want.tolist() and want.sum() > 10_000
 
 
+def test_vectors_that_repeat_an_id(spark):
+    """Rows of one vec_id are vectors of their own; links cross lists; extra columns with the operator's own names are not read."""
+    rows = [(1, [1.0, 0.0, 0.0], 7), (1, [0.0, 1.0, 0.0], 7), (2, [1.0, 0.05, 0.0], 7), (3, [1.0, 0.06, 0.0], 7), (5, [0.0, 0.0, 2.0], 7), (5, [0.0, 0.0, 2.0], 7), (4, [0.0, 0.0, 1.0], 7), (None, [1.0, 0.0, 0.0], 7)]
+    got = sorted(tuple(r) for r in vector_dup.vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long")).select(F.coalesce("vec_id", F.lit(0)), "n_links", F.coalesce("component_id", F.lit(0)), "kept").collect())
+    assert got == [(0, 0, 0, True), (1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False)]
+
+
 def test_mixing(docs, rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     got = mixing.mix(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
