@@ -3,41 +3,76 @@
 Suffixes need ordering only through ``window`` bytes, most significant digit
 first, and a group that holds a single document is dropped after each pass.
 
-1. The leading digit is sparse: of each window only its anchor, the ``GRAM`` bytes
-   of smallest hash within it, is dealt out. Equal windows have equal anchors at
-   equal places, so a window whose anchor no other document has is unique.
-2. Windows of surviving anchors are ordered within their block of documents by
-   two digits, the hashes of their halves; those that a smaller document of the
-   block holds are settled, and the others travel with their bytes.
+1. The leading digit is sparse: of each window only its anchor, the run of about
+   half a window's bytes that has the smallest hash within it, is dealt out.
+   Equal windows have equal anchors at equal places, so a window whose anchor no
+   other document has is unique.
+2. Windows of surviving anchors are ordered within their block of documents: by
+   anchor and place, then by the window's own bytes, eight at a time. Those that
+   a smaller document of the block holds are settled, and the others travel with
+   their bytes.
 3. By anchor, the travelling windows of all blocks are ordered in the same way:
    in each group of equal windows all but the smallest document's are repeated.
 4. The marks return to their documents, whose covered bytes are cut out.
 
-A block sends one entry for an anchor or a window, so a passage that a third of
-all documents hold arrives once a block. Digits are 64-bit hashes, so windows
-are told apart by 128 bits. Blocks and buckets grow in number with the rows.
+Hashes only choose and group candidates; what is equal is decided by bytes. A
+task sends one entry for an anchor that many of its documents share, and a block
+one for a window, so a passage that a third of all documents hold arrives once a
+block. Blocks hold about ``block_bytes`` of text (one text at least) and are far
+more than the tasks, whose number is the session's; texts of any length are read
+in segments. Larger blocks send fewer entries for a hot passage.
 
 Defined results: null text is empty; texts shorter than the window lose nothing.
 Windows never cross documents. Rows that repeat a doc_id are one document for
 "smaller", so they take nothing from each other. A null doc_id neither gives nor
-loses. An empty table gives an empty result.
+loses. An empty table gives an empty result. ``doc_id`` is an integer; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
-from .textbytes import VALUES, mix, pieces, powers
+from .common import tasks
+from .textbytes import VALUES, mix, pieces, powers, text_bytes
 
-GRAM = 26
-_PLACE = 28
-_PIECE = 4 << 20
+_PLACE = 21
+#: Bytes of a segment: a place in one fits in ``_PLACE`` bits.
+_SEGMENT = 512 << 10
+#: Anchors that a task gathers before it sends them.
+_FLUSH = 1 << 21
+_TEXTS = 16 << 20
+_LOW = np.uint64((1 << 32) - 1)
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(x).tobytes()
+    if len(raw) < 128:
+        return b"\0" + raw
+    return b"\1" + len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _unpack(x: bytes) -> bytes:
+    return x[1:] if x[:1] == b"\0" else _CODEC.decompress(x[9:], int.from_bytes(x[1:9], "little"), asbytes=True)
+
+
+def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(_unpack(x) for x in table.column(name).to_pylist()), kind)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, which pack better than the numbers; each entry starts anew."""
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
+
+
+def _sums(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(_unpack(x), np.int64)) for x in table.column(name).to_pylist())])
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -51,56 +86,104 @@ def _hashes(total: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix((total[at + size] - total[at]) * powers(len(total))[1][at])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix hashes; and for each run of windows with one anchor, its place and the run's first and last window."""
-    total = _prefix(data)
-    none = np.zeros(0, np.int64)
-    size = np.diff(offsets)
-    live = np.flatnonzero(size >= window)
-    if not len(live):
-        return total, none, none, none
-    mark = np.zeros(len(data) + 1, np.int8)
-    np.add.at(mark, offsets[live], 1)
-    np.add.at(mark, offsets[live] + size[live] - window + 1, -1)
-    starts = np.flatnonzero(np.cumsum(mark[:-1]))
-    places = np.arange(len(data) - GRAM + 1)
-    bits = np.uint64(_PLACE if len(data) < 1 << _PLACE else 36)
-    key = (_hashes(total, places, GRAM) >> bits << bits) | places.astype(np.uint64)
-    width, reach = window - GRAM + 1, 1
-    while reach * 2 <= width:
-        key = np.minimum(key[: len(key) - reach], key[reach:])
-        reach *= 2
-    anchor = np.minimum(key[starts], key[starts + width - reach]) & ((np.uint64(1) << bits) - np.uint64(1))
-    anchor = anchor.astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    last = np.append(edge[1:], len(starts)) - 1
-    return total, anchor[edge], starts[edge], starts[last]
-
-
-def repeated(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Radix passes over two digits: which windows a smaller document holds, and which are their group's smallest document's or alone."""
-    n = len(doc)
-    order = np.argsort(first)
-    for digit in (first, second):
-        # A pass splits the groups of the last one; windows alone in theirs drop out.
-        same = digit[order][1:] == digit[order][:-1]
-        if digit is second:
-            same &= first[order][1:] == first[order][:-1]
-        pair = np.zeros(len(order), bool)
-        pair[1:] |= same
-        pair[:-1] |= same
-        order = order[pair]
-        if digit is first and len(order):
-            order = order[np.argsort(mix(first[order] + mix(second[order])))]
-    out, lead = np.zeros(n, bool), np.ones(n, bool)
+def _segments(offsets: np.ndarray, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row + 1, first byte, last byte + 1): about ``_SEGMENT`` bytes each, and every window in just one."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _SEGMENT, "right")) - 1)
+        low, high = int(offsets[i]), int(offsets[j])
+        if j == i + 1 and high - low > _SEGMENT:
+            for at in range(low, high - window + 1, _SEGMENT):
+                yield i, j, at, min(at + _SEGMENT + window - 1, high)
+        else:
+            yield i, j, low, high
+        i = j
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of windows with one anchor: the anchor's hash and place, and the run's first and last window.
+
+    A window of 50 bytes has 25 candidates of 26 bytes.
+    """
+    gram = window // 2 + 1
+    bits = np.uint64(_PLACE)
+    for i, j, low, high in _segments(offsets, window):
+        bounds = np.clip(offsets[i : j + 1], low, high) - low
+        part, size = data[low:high], np.diff(bounds)
+        live = np.flatnonzero(size >= window)
+        if not len(live):
+            continue
+        total = _prefix(part)
+        mark = np.zeros(len(part) + 1, np.int8)
+        mark[bounds[live]] += 1
+        np.add.at(mark, bounds[live] + size[live] - window + 1, -1)
+        starts = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8))
+        places = np.arange(len(part) - gram + 1)
+        key = (_hashes(total, places, gram) >> bits << bits) | places.astype(np.uint64)
+        width, reach = window - gram + 1, 1
+        while reach * 2 <= width:
+            key = np.minimum(key[: len(key) - reach], key[reach:])
+            reach *= 2
+        anchor = (np.minimum(key[starts], key[starts + width - reach]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+        last = np.append(edge[1:], len(starts)) - 1
+        at = anchor[edge]
+        # Anchors are small hashes: spread them again.
+        yield mix(_hashes(total, at, gram)), at + low, starts[edge] + low, starts[last] + low
+
+
+def _digits(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number in the order of bytes."""
+    n = len(data)
+    full = np.append(data, np.zeros(16, np.uint8))
+    out = np.empty(n, np.uint64)
+    for i in range(min(8, n)):
+        out[i::8] = np.frombuffer(full[i : i + 8 * len(range(i, n, 8))].tobytes(), ">u8")
+    return out
+
+
+def repeated(lead: np.ndarray, data: np.ndarray, place: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Radix passes over the windows at ``place``, by ``lead`` and then by their bytes.
+
+    Says which windows a smaller document holds, and which are their group's smallest document's or alone.
+    """
+    out, least = np.zeros(len(place), bool), np.ones(len(place), bool)
+    if not len(place):
+        return out, least
+
+    def shared(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the groups that hold a single document."""
+        edge = np.flatnonzero(new)
+        own = doc[order]
+        keep = np.repeat(np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge), np.diff(np.append(edge, len(order))))
+        return order[keep], new[keep]
+
+    order = np.argsort(lead)
+    new = np.concatenate([[True], lead[order][1:] != lead[order][:-1]])
+    order, new = shared(order, new)
+    digits = _digits(data) if len(order) else None
+    for at in [*range(0, window - 7, 8), window - 8]:
+        if not len(order):
+            return out, least
+        digit = digits[place[order] + at]
+        differs = (digit[1:] != digit[:-1]) & ~new[1:]
+        if not differs.any():
+            continue
+        # Only groups with several digits are ordered anew.
+        group = np.cumsum(new) - 1
+        several = np.zeros(group[-1] + 1, bool)
+        several[group[1:][differs]] = True
+        rows = np.flatnonzero(several[group])
+        rank = np.lexsort((digit[rows], group[rows]))
+        order[rows], digit[rows] = order[rows][rank], digit[rows][rank]
+        new[1:] |= digit[1:] != digit[:-1]
+        order, new = shared(order, new)
     if len(order):
-        a, b = first[order], second[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        edge, group = np.flatnonzero(new), np.cumsum(new) - 1
-        least = np.minimum.reduceat(doc[order], edge)[group]
-        out[order] = doc[order] > least
-        lead[order] = doc[order] == least
-    return out, lead
+        edge = np.flatnonzero(new)
+        low = np.minimum.reduceat(doc[order], edge)[np.cumsum(new) - 1]
+        out[order] = doc[order] > low
+        least[order] = doc[order] == low
+    return out, least
 
 
 def _runs(at: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +207,17 @@ def _split(bucket: np.ndarray):
         yield int(bucket[i]), slice(int(i), int(j))
 
 
+_PACKED = "kind int, part int, a binary, b binary, c binary"
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     """kind, part, and three packed columns."""
-    width = 5
-    columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(2)] + [pa.array([zstandard.compress(np.ascontiguousarray(r[i]).tobytes(), 1) for r in rows], pa.binary()) for i in range(2, width)]
+    columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(2)] + [pa.array([_pack(r[i]) for r in rows], pa.binary()) for i in range(2, 5)]
     return pa.RecordBatch.from_arrays(columns, ["kind", "part", "a", "b", "c"])
 
 
-_PACKED = "kind int, part int, a binary, b binary, c binary"
-
-
-def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(zstandard.decompress(x) for x in table.column(name).to_pylist()), kind)
+def _none() -> np.ndarray:
+    return np.zeros(0, np.uint8)
 
 
 def _target(doc: np.ndarray, parts: int) -> np.ndarray:
@@ -146,7 +228,7 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
     """Texts packed by the block of their doc_id."""
     def pack(batches):
         for batch in batches:
-            for part, data, offsets in pieces(batch, limit=_PIECE):
+            for part, data, offsets in pieces(batch, limit=_TEXTS):
                 ids = part.column(0).to_numpy()
                 target = _target(ids, parts)
                 order = np.argsort(target, kind="stable")
@@ -154,7 +236,7 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
                 for t, s in _split(target[order]):
                     own = order[s]
                     text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in own])
-                    rows.append((0, t, ids[own], np.diff(offsets)[own].astype(np.int64), text))
+                    rows.append((0, t, ids[own], np.diff(offsets)[own], text))
                 yield _rows(rows)
 
     return docs.select("doc_id", "text").mapInArrow(pack, _PACKED)
@@ -177,54 +259,69 @@ class _Block:
         return np.frombuffer(b"".join(self.raw), np.uint8)
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, block_rows: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 50, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (the removed runs [from, to)) of every row."""
-    half = window // 2
+    if window < 16:
+        raise ValueError("a window has 16 bytes at least")
+    spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = given.where("doc_id is not null")
-    parts = 1 << max(4, int(np.ceil(np.log2(max(1, own.count()) / block_rows + 1))))
+    total_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << max(4, (total_bytes // block_bytes).bit_length())
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
-    def dealt(df: DataFrame):
-        """By part, in as many tasks as parts: their work is far more than their packed bytes tell."""
-        return df.repartition(parts, "part").groupBy("part")
+    def dealt(df: DataFrame) -> DataFrame:
+        # The work is far more than the packed bytes tell, so the number of tasks is set.
+        return df.repartition(tasks(spark), "part")
 
     def lead(batches):
-        for batch in batches:
-            for part, data, offsets in pieces(batch, limit=_PIECE):
-                ids = part.column(0).to_numpy()
-                total, anchor, first, _ = anchors(data, offsets, window)
-                if not len(anchor):
-                    continue
-                h = mix(_hashes(total, anchor, GRAM))  # anchors are small hashes: spread them again
-                doc = ids[np.searchsorted(offsets, first, "right") - 1]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-                h, doc = h[new], doc[new]
-                fresh = np.concatenate([[True], h[1:] != h[:-1]])
-                many = np.diff(np.append(np.flatnonzero(fresh), len(h))) > 1
-                rows = [(0, b, h[fresh][s], doc[fresh][s], many[s].astype(np.uint8)) for b, s in _split((h[fresh] >> shift).astype(np.int64))]
-                # Others of the piece are known to share their anchor: they need no further pass.
-                rest_h, rest = h[~fresh], doc[~fresh]
-                target = _target(rest, parts)
-                at = np.argsort(target, kind="stable")
-                rows += [(1, t, rest_h[at[s]], rest[at[s]], np.zeros(0, np.uint8)) for t, s in _split(target[at])]
-                yield _rows(rows)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            h, doc = (np.concatenate([x[i] for x in held]) for i in range(2))
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+            h, doc = h[new], doc[new]
+            fresh = np.concatenate([[True], h[1:] != h[:-1]])
+            many = (np.diff(np.append(np.flatnonzero(fresh), len(h))) > 1).astype(np.uint8)
+            one_h, one = h[fresh], doc[fresh]
+            bucket = (one_h >> shift).astype(np.int64)
+            order = np.lexsort((one, bucket))
+            rows = [(0, b, (one_h[order[s]] & _LOW).astype(np.uint32), _steps(one[order[s]]), many[order[s]]) for b, s in _split(bucket[order])]
+            # The anchor's other documents are known to share it: they need not meet it again.
+            rest_h, rest = (h[~fresh] & _LOW).astype(np.uint32), doc[~fresh]
+            target = _target(rest, parts)
+            order = np.lexsort((rest, target))
+            rows += [(1, t, rest_h[order[s]], _steps(rest[order[s]]), _none()) for t, s in _split(target[order])]
+            return _rows(rows)
 
-    led = stage(own.mapInArrow(lead, _PACKED), "anchors")
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for h, _, first, _ in anchors(data, offsets, window):
+                held.append((h, ids[np.searchsorted(offsets, first, "right") - 1]))
+                size += len(h)
+                if size >= _FLUSH:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
 
     def meet(table: pa.Table) -> pa.Table:
-        h, doc, many = _whole(table, "a", np.uint64), _whole(table, "b", np.int64), _whole(table, "c", np.uint8)
+        """Entries of documents pass; of a bucket of anchors those go on that several documents have."""
+        if table.column("kind")[0].as_py() == 1:
+            return table
+        h, doc, many = _whole(table, "a", np.uint32), _sums(table, "b"), _whole(table, "c", np.uint8)
         _, word, times = np.unique(h, return_inverse=True, return_counts=True)
         live = (times[word] > 1) | (np.bincount(word, many, len(times))[word] > 0)
         h, doc = h[live], doc[live]
         target = _target(doc, parts)
-        at = np.argsort(target, kind="stable")
-        return pa.Table.from_batches([_rows([(1, t, h[at[s]], doc[at[s]], np.zeros(0, np.uint8)) for t, s in _split(target[at])])])
+        order = np.lexsort((doc, target))
+        return pa.Table.from_batches([_rows([(1, t, h[order[s]], _steps(doc[order[s]]), _none()) for t, s in _split(target[order])])])
 
-    shared = led.where("kind = 1").unionByName(dealt(led.where("kind = 0")).applyInArrow(meet, _PACKED))
-    shared = stage(shared, "shared")
+    shared = dealt(own.mapInArrow(lead, _PACKED)).groupBy("kind", "part").applyInArrow(meet, _PACKED)
 
     def order_block(texts: pa.Table, found: pa.Table) -> pa.Table:
         empty = pa.Table.from_batches([_rows([])])
@@ -232,64 +329,68 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, block_rows: int = 2000)
             return empty
         block = _Block(texts)
         data, offsets = block.data, block.offsets
-        total, anchor, first, last = anchors(data, offsets, window)
-        if not len(anchor):
+        # (document, anchor) pairs that survived; a pair too many costs time only.
+        pair = lambda x, d: mix(x.astype(np.uint64) + mix(d.view(np.uint64)))
+        known = np.unique(pair(_whole(found, "a", np.uint32), _sums(found, "b")))
+        chosen = []
+        for h, at, first, last in anchors(data, offsets, window):
+            row = np.searchsorted(offsets, first, "right") - 1
+            mine = pair(h & _LOW, block.ids[row])
+            live = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+            chosen.append((h[live], at[live], first[live], last[live], row[live]))
+        if not chosen:
             return empty
-        row = np.searchsorted(offsets, first, "right") - 1
-        h = mix(_hashes(total, anchor, GRAM))  # anchors are small hashes: spread them again
-        # (document, anchor) pairs that survived, by one 64-bit key.
-        pair = lambda x, d: mix(x + mix(d.view(np.uint64)))
-        known = np.unique(pair(_whole(found, "a", np.uint64), _whole(found, "b", np.int64)))
-        mine = pair(h, block.ids[row])
-        live = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
-        first, last, row, h = first[live], last[live], row[live], h[live]
+        h, anchor, first, last, row = (np.concatenate([x[i] for x in chosen]) for i in range(5))
         place, run = _spread(first, last)
-        gone, leads = repeated(_hashes(total, place, half), _hashes(total, place + half, window - half), block.ids[row[run]])
+        gone, least = repeated(mix(h[run] + (place - anchor[run]).view(np.uint64)), data, place, block.ids[row[run]], window)
         rows = []
         number = int(texts.column("part")[0].as_py())
         edge, n = _runs(place[gone], row[run[gone]])
         if len(edge):
             r = row[run[gone]][edge]
-            rows.append((1, number, r.astype(np.int32), (place[gone][edge] - offsets[r]).astype(np.int64), n.astype(np.int32)))
+            rows.append((1, number, r.astype(np.int32), place[gone][edge] - offsets[r], n.astype(np.int32)))
         # The smallest document's windows travel, with all repeats within it.
-        rest, own_run = place[leads], run[leads]
+        rest, own_run = place[least], run[least]
         edge, n = _runs(rest, own_run)
         at, own_run = rest[edge], own_run[edge]
         bucket = (h[own_run] >> shift).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for b, s in _split(bucket[order]):
-            own = order[s]
-            r = row[own_run[own]]
-            bytes_at, _ = _spread(at[own], at[own] + n[own] + window - 2)
-            head = np.stack([block.ids[r], np.full(len(r), number), r, at[own] - offsets[r], n[own]]).astype(np.int64)
-            rows.append((0, b, np.array([len(own)], np.int64), head.ravel(), data[bytes_at]))
+            mine = order[s]
+            r = row[own_run[mine]]
+            bytes_at, _ = _spread(at[mine], at[mine] + n[mine] + window - 2)
+            head = np.concatenate([[len(mine), number], _steps(block.ids[r]), _steps(r), at[mine] - offsets[r], n[mine], at[mine] - anchor[own_run[mine]]])
+            rows.append((0, b, head, (h[own_run[mine]] & _LOW).astype(np.uint32), data[bytes_at]))
         return pa.Table.from_batches([_rows(rows)])
 
-    # Text is packed: Spark moves a third less of it, and twice the same way.
-    packed = _texts(own, parts)
-    ordered = stage(dealt(packed).cogroup(dealt(shared)).applyInArrow(order_block, _PACKED), "windows")
+    # Both passes over the texts read one exchange of them; text is packed, as Spark moves a third less of it so.
+    packed = dealt(_texts(own, parts)).groupBy("part")
+    ordered = packed.cogroup(dealt(shared).groupBy("part")).applyInArrow(order_block, _PACKED)
 
     def order_bucket(table: pa.Table) -> pa.Table:
-        heads, at = [], 0
-        flat, sizes = _whole(table, "b", np.int64), _whole(table, "a", np.int64)
-        for n in sizes:
-            heads.append(flat[at : at + 5 * n].reshape(5, n))
-            at += 5 * n
-        doc, target, row, start, n = np.concatenate(heads, 1)
-        data = _whole(table, "c", np.uint8)
-        total = _prefix(data)
+        """Marks of blocks pass; a bucket of travelling windows is ordered."""
+        if table.column("kind")[0].as_py() == 1:
+            return table
+        heads = []
+        for x in table.column("a").to_pylist():
+            head = np.frombuffer(_unpack(x), np.int64)
+            own_ = head[2:].reshape(5, -1).copy()
+            own_[:2] = np.cumsum(own_[:2], axis=1)
+            heads.append(np.vstack([own_, np.full(head[0], head[1])]))
+        doc, row, start, n, away, target = np.hstack(heads)
+        low, data = _whole(table, "b", np.uint32), _whole(table, "c", np.uint8)
         begin = np.concatenate([[0], np.cumsum(n + window - 1)])[:-1]
         place, run = _spread(begin, begin + n - 1)
-        gone, _ = repeated(_hashes(total, place, half), _hashes(total, place + half, window - half), doc[run])
+        key = mix(low[run].astype(np.uint64) + mix((place - begin[run] + away[run]).view(np.uint64)))
+        gone, _ = repeated(key, data, place, doc[run], window)
         edge, length = _runs(place[gone], run[gone])
-        own = run[gone][edge]
-        begin_at = place[gone][edge] - begin[own] + start[own]
-        order = np.argsort(target[own], kind="stable")
-        rows = [(1, t, row[own][order[s]].astype(np.int32), begin_at[order[s]].astype(np.int64), length[order[s]].astype(np.int32)) for t, s in _split(target[own][order])]
+        own_run = run[gone][edge]
+        begin_at = place[gone][edge] - begin[own_run] + start[own_run]
+        order = np.argsort(target[own_run], kind="stable")
+        rows = [(1, t, row[own_run][order[s]].astype(np.int32), begin_at[order[s]], length[order[s]].astype(np.int32)) for t, s in _split(target[own_run][order])]
         return pa.Table.from_batches([_rows(rows)])
 
-    across = dealt(ordered.where("kind = 0")).applyInArrow(order_bucket, _PACKED)
-    marks = stage(ordered.where("kind = 1").unionByName(across), "marks")
+    marks = dealt(ordered).groupBy("kind", "part").applyInArrow(order_bucket, _PACKED)
     result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<from: bigint, to: bigint>>"
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -320,7 +421,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, block_rows: int = 2000)
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    out = dealt(packed).cogroup(dealt(marks)).applyInArrow(cut, result)
+    out = packed.cogroup(dealt(marks).groupBy("part")).applyInArrow(cut, result)
     raw = F.col("text").cast("binary")
     lone = given.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), F.array().cast("array<struct<from: bigint, to: bigint>>").alias("spans"))
     return out.unionByName(lone)

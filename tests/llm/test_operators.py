@@ -74,6 +74,53 @@ def test_repeats(docs, rows):
         assert r["n_spans"] == len(re.findall(b"\1+", bytes(cover)))
 
 
+def brute_repeats(rows, window=50):
+    first, out = {}, []
+    for i, t in sorted((i, (t or "").encode()) for i, t in rows if i is not None):
+        for p in range(len(t) - window + 1):
+            first.setdefault(t[p : p + window], i)
+    for i, t in rows:
+        t = (t or "").encode()
+        cover = bytearray(len(t))
+        for p in range(len(t) - window + 1 if i is not None else 0):
+            if first[t[p : p + window]] < i:
+                cover[p : p + window] = b"\1" * window
+        kept = bytes(b for b, c in zip(t, cover, strict=True) if not c)
+        out.append((-1 if i is None else i, len(t), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_repeats_of_odd_texts(spark, monkeypatch):
+    """Periodic texts, windows that share most of their bytes, long texts in segments, repeated and null ids, many blocks."""
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefgh ") for _ in range(6000))
+    near = [base[:200] + x + base[201:400] for x in "xyz"]  # differ in one byte
+    rows = [(1, "a" * 300), (2, "a" * 120 + "b" * 60), (3, "ab" * 90), (4, "ba" * 80), (-5, base[50:900]), (7, base), (7, base[1000:1500]), (8, base[2000:2200] + "Ü" + base[2100:2300])]
+    rows += [(10 + i, x) for i, x in enumerate(near)] + [(None, base), (None, None), (20, None), (21, ""), (22, base[:49]), (23, base[:50]), (24, "é" * 200), (25, "é" * 150 + "ß")]
+    rows += [(100 + i, base[r.randint(0, 5000) :][: r.randint(0, 900)]) for i in range(40)]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, part int, kind string").repartition(5)
+    for flush in (1 << 21, 50):
+        monkeypatch.setattr(suffix_dup, "_FLUSH", flush)
+        for window, block in ((50, 1000), (50, 1 << 21), (17, 3000)):
+            got = sorted((-1 if x[0] is None else x[0], *x[1:]) for x in map(tuple, suffix_dup.remove_repeats(frame, window=window, block_bytes=block).drop("spans").collect()))
+            assert got == brute_repeats(rows, window)
+
+
+def test_anchors_do_not_depend_on_segments(monkeypatch):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abc ") for _ in range(n)) for n in (0, 10, 50, 51, 5000, 49, 300, 3000)]
+    data, offsets = textbytes.text_bytes(pa.array(texts))
+
+    def by_window():
+        return {w: (int(h), int(at)) for hs, ats, first, last in suffix_dup.anchors(data, offsets, 50) for h, at, a, b in zip(hs, ats, first, last, strict=True) for w in range(a, b + 1)}
+
+    whole = by_window()
+    assert sorted(whole) == [w for i, t in enumerate(texts) for w in range(offsets[i], offsets[i] + len(t) - 49)]
+    for size in (60, 333, 4096):
+        monkeypatch.setattr(suffix_dup, "_SEGMENT", size)
+        assert by_window() == whole
+
+
 def test_vectors(spark):
     g = np.random.default_rng(3)
     base = g.normal(size=(300, 24))
