@@ -244,28 +244,47 @@ def test_html_boilerplate_within_articles(spark):
     assert got == {i: own(i) + (f"\n{quoted}" if i < 2 else "") for i in range(8)} | {20 + i: f"{own(0)}\n{line}\n{quoted}" for i in range(4)}
 
 
-def test_lm(docs, rows):
+@pytest.mark.parametrize("share", [0.01, 1e-6])
+def test_lm(docs, rows, share):
+    """Base columns and score against a plain model over the same classes, with rare words (0.01) and with hot ones only."""
     from collections import Counter
     from math import log10
 
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + ["\n"]
-    c = Counter()
-    for r in rows:
-        if crc(r[0]) % 7 != 2:
-            c.update(tokens(r[1]))
+    options = {"share": share, "units": 8, "classes": 4}
+    train = [tokens(r[1]) for r in rows if crc(r[0]) % 7 != 2]
+    c = Counter(x for t in train for x in t)
     n, v = sum(c.values()), len(c)
-    for r in brown_lm.score(docs, hot=20, units=8, classes=4).collect():
+    m = brown_lm.fit_classes(docs.where("crc32(cast(doc_id as string)) % 7 != 2").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")), **options)
+    assert (len(m.hot) == v - 1) == (share < 0.001) and len(m.hot) > 8
+
+    def class_of(word):
+        if word == "\n":
+            return 4
+        w, shape = brown_lm._tokens(*textbytes.text_bytes(pa.array([word], pa.large_string())))
+        return int(m.look_up(w.hash, shape)[1][0])
+
+    of = {x: class_of(x) for r in rows for x in tokens(r[1])}
+    step, left = Counter(), Counter()
+    for t in train:
+        for a, b in zip(["\n", *t[:-1]], t, strict=True):
+            step[of[a], of[b]] += 1
+            left[of[a]] += 1
+    size, kinds = Counter(of[x] for t in train for x in t), Counter(of[x] for x in c)
+    for r in brown_lm.score(docs, **options).collect():
         t = tokens(next(d[1] for d in rows if d[0] == r["doc_id"]))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[x] > 0 for x in t), n)
         assert abs(r["base_score"] - sum(log10((c[x] + 1) / (n + v + 1)) for x in t)) < 1e-6
-        assert r["score"] < 0
+        want = sum(log10((step[of[a], of[b]] + 0.1) / (left[of[a]] + 0.1 * 5)) for a, b in zip(["\n", *t[:-1]], t, strict=True))
+        want += sum(log10((c[x] + 1) / (size[of[x]] + kinds[of[x]] + 1)) for x in t if x != "\n")
+        assert abs(r["score"] - want) < 1e-6 * len(t)
 
 
 def test_classes_of_words_beyond_the_units(spark):
     """Words of one shape that are no units still get the classes of their neighbours, from every row."""
     lines = [f"the n{i}zz now v{(i * 7) % 40}zz so" for i in range(40) for _ in range(3 if i > 1 else 60)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "k long, text string")
-    m = brown_lm.fit_classes(rows, hot=20, units=7, classes=6)
+    m = brown_lm.fit_classes(rows, units=7, classes=6)
     w, shape = brown_lm._tokens(*textbytes.text_bytes(pa.array(lines, pa.large_string())))
     of = m.look_up(w.hash, shape)[1].reshape(-1, 5)
     assert len(set(of[:, 1])) == len(set(of[:, 3])) == 1 and of[0, 1] != of[0, 3]
