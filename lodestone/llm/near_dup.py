@@ -22,10 +22,12 @@ of blocks: the weighted overlap of all texts of two blocks is a product of two
 matrices, and a block reports a spanning forest of its links, never the pairs.
 
 Defined results: equal texts share a class, wordless ones too; null and empty
-texts are classes of their own. Texts of fewer than five words are one shingle
-of all their words. Rows that repeat a doc_id with several texts are classed by
-each text; a null doc_id has a null class and is kept. Extra columns are not
-read. An empty table gives an empty result.
+texts are classes of their own. A class is named by its smallest doc_id; kept is
+the row of that id whose text is the first of the class by (doc_id, key). Texts
+of fewer than five words are one shingle of all their words. Rows that repeat a
+doc_id with several texts are classed by each text. A null doc_id has a null
+class, is kept and links nothing. Texts may be of any length. ``doc_id`` is an
+integer; extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -297,13 +299,15 @@ def _join_buckets(members: DataFrame, facts: DataFrame, block: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, bands: int = 14, rows: int = 3, common: float = 0.02, small: int = 16, block: int = 512) -> DataFrame:
-    """One row a document: doc_id, text_id (its text's smallest doc_id), n_links (links of its text that were needed), class_id, kept."""
+    """One row a document: doc_id, key (of its text), text_id (its text's smallest doc_id), class_id, kept."""
     draws, least = bands * rows, math.floor(bands * rows * (threshold - 0.3))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = common_shingles(own, common=common, k=k)
     drawn = stage(sketches(own, idf, bands=bands, rows=rows, k=k), "sketches")
     keyed = drawn.where(F.col("key").isNotNull())
-    reps = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("band").alias("band")).where("id is not null"), "texts")
+    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.any_value("sig").alias("sig"), F.any_value("band").alias("band")).where("text_id is not null")
+    # A number of its own for each distinct text: several may share a doc_id.
+    reps = stage(reps.withColumn("id", F.monotonically_increasing_id()), "texts")
     band = reps.where(F.size("band") > 0).select("id", F.explode("band").alias("bucket"))
     sizes = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stage(band.join(sizes, "bucket").select("bucket", "id", "n"), "members")
@@ -313,9 +317,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, band
     lead = large.groupBy("bucket", "n").agg(F.min(F.struct(F.xxhash64(F.lit(29), "id").alias("h"), "id")).alias("s")).select("bucket", "n", F.col("s.id").alias("lead"))
     star = _join_buckets(large, lead, block).where("id != lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     pairs = stage(pairs.union(star).distinct(), "pairs")
-    involved = member.select("id").distinct().hint("merge")
-    named = own.select(F.col("doc_id").alias("id"), "text").join(involved, "id").join(reps.select("id", "key"), "id")
-    texts = stage(named.where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("key")).select("id", "text").dropDuplicates(["id"]), "involved")
+    involved = member.select("id").distinct().join(reps.select("id", "key", "text_id"), "id").hint("merge")
+    # By the id of one document that has the text: copies of it meet nobody.
+    named = own.join(involved, F.col("doc_id") == F.col("text_id")).where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("key"))
+    texts = stage(named.select("id", "text").dropDuplicates(["id"]), "involved")
     links = stage(similarity(pairs, texts, idf, k=k).where(F.col("j") >= threshold).select("a", "b"), "links")
     group = components(links)
     state = large.join(group, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
@@ -324,9 +329,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, band
     if state.limit(1).count():
         more = stage(_near_in_blocks(state, texts, idf, threshold=threshold, k=k, block=block).distinct(), "more")
         if more.limit(1).count():
-            links = links.unionByName(more)
-            group = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.select("key", "id").join(group, "id", "left").join(degree, "id", "left").select("key", F.col("id").alias("text_id"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = drawn.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+            group = components(links.unionByName(more))
+    classed = stage(reps.select("key", "id", "text_id").join(group, "id", "left"), "classed")
+    first = classed.where("component is not null").groupBy(F.col("component").alias("number")).agg(F.min(F.struct("text_id", "key")).alias("first"))
+    classes = classed.join(first, F.col("component") == F.col("number"), "left").select("key", "text_id", F.coalesce("first.text_id", "text_id").alias("class_id"), F.coalesce("first.key", "key").alias("class_key"))
+    out = drawn.select("doc_id", "key").join(classes.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
+    kept = F.col("doc_id").isNull() | F.col("class_key").isNull() | ((F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key")))
+    return out.select("doc_id", "key", F.coalesce("text_id", "doc_id").alias("text_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), kept.alias("kept"))

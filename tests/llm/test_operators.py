@@ -343,6 +343,59 @@ def test_near_duplicates(spark, docs):
     assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 + i for i in range(20))
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """Classes are those of the exact weighted similarity of all pairs: repeated ids with several texts, repeated words, common shingles."""
+    from collections import Counter
+    from math import log
+
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    fresh = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    lines, rows = [fresh(40) for _ in range(2)], []
+    for i in range(40):
+        base = fresh(r.randint(30, 150)) + (lines[i % 2] if i % 3 else []) + (["so"] * 9 if i % 5 == 0 else [])
+        for _ in range(r.choice([1, 1, 2, 3, 6])):
+            words = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, 8])):
+                words[r.randrange(len(words))] = "x" + str(r.random())[2:6]
+            rows.append((len(rows), " ".join(words)))
+    a, b = fresh(50), fresh(60)
+    rows += [(5000, " ".join(a)), (5000, " ".join(b)), (6000, " ".join([*a, "tail"])), (7000, " ".join([*b, "tail"])), (8000, " ".join(a)), (None, " ".join(b)), (8001, "one two"), (8002, "two one"), (8003, "one two"), (9000, "!"), (9001, "!")]
+    common = 0.02
+    bags = []
+    for _, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(x for bag in bags for x in bag)
+    idf = {x: 1 + min(1, log(len(rows) / n) / log(1 / common)) for x, n in df.items()}
+    weighed = [{x: (1 + log(n)) * idf[x] for x, n in bag.items()} for bag in bags]
+
+    def similar(x, y):
+        low = sum(min(v, y[s]) for s, v in x.items() if s in y)
+        total = sum(x.values()) + sum(y.values()) - low
+        return low / total if total else 1.0
+
+    group = list(range(len(rows)))
+    find = lambda i: i if group[i] == i else find(group[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is not None and rows[j][0] is not None and (rows[i][1] == rows[j][1] or weighed[i] and weighed[j] and similar(weighed[i], weighed[j]) >= 0.8):
+                group[find(i)] = find(j)
+    names = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            names[find(i)] = min(names.get(find(i), doc), doc)
+    want = sorted((doc, t, names[find(i)]) for i, (doc, t) in enumerate(rows) if doc is not None)
+    frame = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, id int")
+    for options in ({}, {"small": 2, "block": 4}):
+        got = near_dup.near_duplicates(frame, **options)
+        texts = frame.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tk")).distinct()
+        named = got.join(texts, (F.col("key") == F.col("tk")) & got["doc_id"].eqNullSafe(texts["doc_id"])).select(got["doc_id"], "text", "class_id", "kept").collect()
+        assert sorted((x[0], x[1], x[2]) for x in named if x[0] is not None) == want
+        assert [x["kept"] for x in named if x[0] is None] == [True]
+        assert sorted(x[0] for x in named if x["kept"] and x[0] is not None) == sorted(names.values())
+
+
 def test_urls(spark):
     rows = [(1, "http://Www.Example.COM/en/a?x#y"), (2, "https://a.net/fr/b"), (3, "ftp://x.com"), (4, None), (5, "no scheme"), (6, "http://b.org/?q"), (7, "http://x.example.com/en/"), (8, "http://y.com/z")]
     df = spark.createDataFrame(rows, "page_id long, url string")
