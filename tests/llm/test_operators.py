@@ -315,17 +315,38 @@ def test_insertion_is_an_exchange_move():
         assert score[best] >= max(score) - 1e-9
 
 
-def test_sharding(docs, rows):
-    got = sharding.shard(docs, shards=4, chunk_groups=7).collect()
-    assert len(got) == len(rows)
-    by = {}
+@pytest.mark.parametrize("options", [{}, {"chunk_groups": 7, "fan": 3}])
+def test_sharding(spark, docs, rows, options):
+    """One chunk, and several rounds of chunks: whole groups, gapless slots, level shards, all columns right."""
+    # The long text alone exceeds a shard.
+    got = sharding.shard(docs, shards=4, **options).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    want = sorted((r[0], size(r[1]), zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want and {r["law"] for r in got} == {"bytes"}
+    by, home = {}, {}
+    texts = {r[0]: r[1] or "" for r in rows}
     for r in got:
         by.setdefault(r["shard"], []).append(r)
-    assert all(sorted(x["slot"] for x in s) == list(range(len(s))) for s in by.values())
-    assert len({r["shard"] for r in got if r["doc_id"] in (5, 103)}) == 1
-    # The long text alone exceeds a shard; the others are level.
+        assert home.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+    assert set(by) == {0, 1, 2, 3} and all(sorted(x["slot"] for x in s) == list(range(len(s))) for s in by.values())
     sums = sorted(sum(x["size"] for x in s) for s in by.values())
-    assert sums[2] - sums[0] <= 0.1 * sums[2]
+    assert sums[2] - sums[0] <= (0.01 if not options else 0.1) * sums[2]
+    again = sharding.shard(docs.repartition(7), shards=4, **options).collect()
+    assert sorted(map(tuple, ((r["doc_id"], r["shard"]) for r in again))) == sorted((r["doc_id"], r["shard"]) for r in got)
+
+
+def test_differencing_is_near_the_optimum():
+    """Two shards: the larger is at most 7/6 of the best one, and every item has one place."""
+    from itertools import product
+
+    for seed in range(30):
+        g = np.random.default_rng(seed)
+        items = [int(x) for x in g.integers(1, 1000, 9)]
+        places = sharding.difference([(x, 0) for x in items], 2)
+        assert all(sorted(p) == [0, 1] for p in places)
+        sums = [sum(x for x, p in zip(items, places, strict=True) if p[0] == s) for s in (0, 1)]
+        best = min(max(sum(x for x, w in zip(items, way, strict=True) if w == s) for s in (0, 1)) for way in product((0, 1), repeat=len(items)))
+        assert max(sums) <= best * 7 / 6
 
 
 def test_near_duplicates(spark, docs):
