@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ranked, stage
 
@@ -82,11 +82,15 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int, exact: int = EXACT)
     return take
 
 
+def size_of(text: str) -> Column:
+    """Words of a text column; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, *, weights=WEIGHTS, pool=Fraction(3, 2), most: int = 2, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies (0, 1 or 2) of every document."""
+    """doc_id, source, size, source_size, target, taken and copies (0, 1 or 2) of every document."""
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = stage(docs.select("doc_id", "source", size.alias("size")), "sized")
+    sized = stage(docs.select("doc_id", "source", size_of("text").alias("size")), "sized")
     counts = stage(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
     # One row a source, not a document.
     sizes = {r["source"]: int(r["w"]) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("w")).collect()}
@@ -106,4 +110,4 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, pool=Fraction(3, 2), most: int = 2,
     both = rank.join(chosen, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left")
     both = both.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("g_source")), "left")
     copies = (F.col("base") + F.when(F.col("rank") < F.col("extra"), 1).otherwise(0)).cast("int")
-    return both.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return both.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
