@@ -229,9 +229,89 @@ def test_clean_judges_rows_and_not_ids(spark):
 def test_html(spark):
     page = '<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One\n two<br><p>Three</p><div class="comments">Nice</div></article><footer>F</footer>'
     shared = "<body><div>one two three four five six seven</div><p>own text of page {}</p></body>"
-    rows = [(1, "http://a/x", page), (2, "http://b/x", shared.format("alpha")), (3, "http://b/y", shared.format("beta")), (4, None, None), (5, "http://c/", "")]
+    rows = [(1, "http://a/x", page), (4, None, None), (5, "http://c/", ""), (6, None, shared.format("x")), (7, "http://d/x", shared.format("one")), (8, "http://d/y", shared.format("two"))]
+    rows += [(10 + i, f"http://b/{i}", shared.format(f"n{i}")) for i in range(5)]
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {1: "A & B\nOne two\nThree", 2: "own text of page alpha", 3: "own text of page beta", 4: "", 5: ""}
+    line = "one two three four five six seven\nown text of page "
+    # Of two pages none can tell what is boilerplate; of five they can.
+    assert got == {1: "A & B\nOne two\nThree", 4: "", 5: "", 6: line + "x", 7: line + "one", 8: line + "two"} | {10 + i: f"own text of page n{i}" for i in range(5)}
+
+
+def test_html_markup():
+    """Odd markup, as a browser reads it."""
+    text = lambda page: "\n".join(html_text.chosen(html_text.blocks(page))[0])
+    assert text('<article><header class="article-header"><h1>Head</h1></header><p>Body</p><footer>x</footer></article>') == "Head\nBody"
+    assert text("<b>&am</b>p; &lt;i&gt; &eacute;&#x41;") == "&amp; <i> éA"
+    assert text("a < b <3 c<p>d</p >e<!-- x > y -->f<!doctype z>g<?php q ?>h</>i") == "a < b <3 c\nd\nefghi"
+    assert text("<script>if (a < b) '</p>'</script >t<style>p{}</style><p>u<textarea>no</textarea>") == "t\nu"
+    assert text('<p title="a > b" data-x=\'<p>\'>kept</p><p class=notice>gone<p>next<div style="display: none">gone</div>') == "kept\nnext"
+    assert text('<ul><li class="ad">x<li>y</ul><div class="post-comments">n</div><div class="ad-free">z</div><div id="site-header">n</div>') == "y\nz"
+    assert text("<main><p>intro of some length here</p><article>tiny</article></main><p>out</p>") == "intro of some length here\ntiny"
+    assert text("<p>begin</p><a href='x") == "begin" and text("") == text(None) == "" and text("x<") == "x<"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<", "<!--", "<a b='", '<a "', "</b", "<b><p>", "</b></i>", "<li>", "<script>", "<i>", "&", "<a b=c/", "<p class=ad>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    page = "<b>" + part * (1_000_000 // len(part)) + "</b></u>" * 20_000
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("part_contents", [4000, 3])
+def test_html_host_streams_against_all_suffixes(spark, part_contents):
+    """Long strings and whole short blocks that stand in half of a host's contents go, up to the token; nothing else does."""
+    from collections import Counter
+
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(3000)}"
+    long_ones = [[f"b{k}x{j}" for j in range(n)] for k, n in enumerate((12, 13, 30))]
+    short, rare = "share this page", [f"q{j}" for j in range(40)]
+    pages = []
+    for i in range(30):
+        own = [[[word()] for _ in range(r.randint(3, 60))] for _ in range(r.randint(1, 4))]
+        for k, line in enumerate(long_ones):
+            if r.random() < (0.9, 0.7, 0.2)[k]:
+                block = own[r.randrange(len(own))]
+                block.insert(r.randrange(len(block) + 1), line)
+        own = [[x for group in block for x in group] for block in own]
+        if i % 7 == 0:
+            own.append(rare)
+        own.append(long_ones[0][:11] + [word()])  # one token short of a long string
+        pages.append((i, "h" if i % 10 else "g", [" ".join(x) for x in own] + [short]))
+    pages.append((100, "h", pages[1][2]))
+    rows = [(i, f"http://{h}/{i}", ("<article>" if i % 2 else "<div>") + "".join(f"<p>{x}</p>" for x in own)) for i, h, own in pages]
+    got = {x["page_id"]: x["text"] for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), part_contents=part_contents).collect()}
+    for host in "hg":
+        contents = {tuple(own) for _, h, own in pages if h == host}
+        need = max(4, -(-len(contents) // 2))
+        heads, wholes = Counter(), Counter()
+        for own in contents:
+            heads.update({tuple(t[j : j + 6]) for t in map(str.split, own) if len(t) >= 12 for j in range(len(t) - 5)})
+            wholes.update({t for t in own if len(t.split()) < 12})
+        for i, h, own in pages:
+            if h != host:
+                continue
+            lines = []
+            for text_ in own:
+                t = text_.split()
+                if len(t) < 12:
+                    lines.append("" if wholes[text_] >= need else text_)
+                    continue
+                hit, gone = [heads[tuple(t[j : j + 6])] >= need for j in range(len(t) - 5)] + [False], set()
+                start = None
+                for j, x in enumerate(hit):
+                    if x and start is None:
+                        start = j
+                    if not x and start is not None:
+                        if j - start >= 7:
+                            gone.update(range(start, j + 5))
+                        start = None
+                lines.append(" ".join(x for j, x in enumerate(t) if j not in gone))
+            assert got[i] == "\n".join(x for x in lines if x), i
+    assert all(short not in got[i] for i, h, _ in pages if h == "h") and all(short in got[i] for i, h, _ in pages if h == "g")
 
 
 def test_html_boilerplate_within_articles(spark):
