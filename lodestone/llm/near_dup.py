@@ -332,7 +332,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, band
             group = components(links.unionByName(more))
     classed = stage(reps.select("key", "id", "text_id").join(group, "id", "left"), "classed")
     first = classed.where("component is not null").groupBy(F.col("component").alias("number")).agg(F.min(F.struct("text_id", "key")).alias("first"))
-    classes = classed.join(first, F.col("component") == F.col("number"), "left").select("key", "text_id", F.coalesce("first.text_id", "text_id").alias("class_id"), F.coalesce("first.key", "key").alias("class_key"))
+    # Texts that link with none are in no component; their own number spreads them over the tasks.
+    classes = classed.join(first, F.coalesce("component", "id") == F.col("number"), "left").select("key", "text_id", F.coalesce("first.text_id", "text_id").alias("class_id"), F.coalesce("first.key", "key").alias("class_key"))
     out = drawn.select("doc_id", "key").join(classes.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
     kept = F.col("doc_id").isNull() | F.col("class_key").isNull() | ((F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key")))
     return out.select("doc_id", "key", F.coalesce("text_id", "doc_id").alias("text_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), kept.alias("kept"))

@@ -162,7 +162,8 @@ def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, list_rows:
     group = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), F.col("component").alias("number"))
     linked = stage(one.select("key", "id", "least", "times").join(counts, "id", "left").join(group, F.col("id") == F.col("cid"), "left"), "linked")
     names = linked.where("number is not null").groupBy(F.col("number").alias("named")).agg(F.min("least").alias("component_id"))
-    classes = linked.join(names, F.col("number") == F.col("named"), "left")
+    # Vectors that link with none are in no component; their own number spreads them over the tasks.
+    classes = linked.join(names, F.coalesce("number", "id") == F.col("named"), "left")
     classes = classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = keyed.select("vec_id", "key").join(classes, "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
