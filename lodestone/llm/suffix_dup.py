@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import tasks
-from .textbytes import VALUES, mix, pieces, powers, text_bytes
+from .textbytes import VALUES, mix, pack, pieces, powers, text_bytes, unpack
 
 _PLACE = 21
 #: Bytes of a segment: a place in one fits in ``_PLACE`` bits.
@@ -48,22 +48,10 @@ _SEGMENT = 512 << 10
 _FLUSH = 1 << 21
 _TEXTS = 16 << 20
 _LOW = np.uint64((1 << 32) - 1)
-_CODEC = pa.Codec("zstd", compression_level=1)
-
-
-def _pack(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
-    if len(raw) < 128:
-        return b"\0" + raw
-    return b"\1" + len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
-
-
-def _unpack(x: bytes) -> bytes:
-    return x[1:] if x[:1] == b"\0" else _CODEC.decompress(x[9:], int.from_bytes(x[1:9], "little"), asbytes=True)
 
 
 def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(_unpack(x) for x in table.column(name).to_pylist()), kind)
+    return np.frombuffer(b"".join(unpack(x) for x in table.column(name).to_pylist()), kind)
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -72,7 +60,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(table: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(_unpack(x), np.int64)) for x in table.column(name).to_pylist())])
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(unpack(x), np.int64)) for x in table.column(name).to_pylist())])
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -212,7 +200,7 @@ _PACKED = "kind int, part int, a binary, b binary, c binary"
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     """kind, part, and three packed columns."""
-    columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(2)] + [pa.array([_pack(r[i]) for r in rows], pa.binary()) for i in range(2, 5)]
+    columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(2)] + [pa.array([pack(r[i]) for r in rows], pa.binary()) for i in range(2, 5)]
     return pa.RecordBatch.from_arrays(columns, ["kind", "part", "a", "b", "c"])
 
 
@@ -226,7 +214,7 @@ def _target(doc: np.ndarray, parts: int) -> np.ndarray:
 
 def _texts(docs: DataFrame, parts: int) -> DataFrame:
     """Texts packed by the block of their doc_id."""
-    def pack(batches):
+    def gather(batches):
         for batch in batches:
             for part, data, offsets in pieces(batch, limit=_TEXTS):
                 ids = part.column(0).to_numpy()
@@ -239,7 +227,7 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
                     rows.append((0, t, ids[own], np.diff(offsets)[own], text))
                 yield _rows(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(pack, _PACKED)
+    return docs.select("doc_id", "text").mapInArrow(gather, _PACKED)
 
 
 class _Block:
@@ -373,7 +361,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, block_bytes: int = 2 <<
             return table
         heads = []
         for x in table.column("a").to_pylist():
-            head = np.frombuffer(_unpack(x), np.int64)
+            head = np.frombuffer(unpack(x), np.int64)
             own_ = head[2:].reshape(5, -1).copy()
             own_[:2] = np.cumsum(own_[:2], axis=1)
             heads.append(np.vstack([own_, np.full(head[0], head[1])]))

@@ -43,6 +43,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Bytes of an array, compressed if that pays."""
+    raw = np.ascontiguousarray(x).tobytes()
+    if len(raw) < 128:
+        return b"\0" + raw
+    return b"\1" + len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def unpack(x: bytes) -> bytes:
+    return x[1:] if x[:1] == b"\0" else _CODEC.decompress(x[9:], int.from_bytes(x[1:9], "little"), asbytes=True)
+
+
 def _byte_values(fold: bool) -> np.ndarray:
     v = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA24BAED4963EE407))
     if fold:

@@ -214,6 +214,25 @@ def test_decontamination(spark, docs, rows):
     assert clean.columns == docs.columns and clean.where("doc_id = 5").count() == 0 and clean.where("doc_id = 100").count() == 1
 
 
+def test_proximity(spark, docs, rows):
+    """Any order, within the span, never across documents; against every span of every document."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    index = decontaminate.build_index(docs.repartition(3))
+    documents = decontaminate.documents_of(index)
+    assert sorted(map(tuple, documents.select(F.coalesce("doc_id", F.lit(-1)), "n_words").collect())) == sorted((r[0], len(words(r[1]))) for r in rows)
+    asked = [["the", "water"], ["haus", "wasser", "nicht"], ["of"], ["no", "such"], ["stone", "stone"], []]
+    for slop in (0, 3):
+        got = decontaminate.proximity_hits(index, asked, slop=slop).join(documents, ["segment", "row"]).select("doc_id", "query").collect()
+        want = []
+        for r in rows:
+            x = words(r[1])
+            for q, own in enumerate(asked):
+                reach = len(set(own)) + slop
+                if own and any(set(own) <= set(x[i : i + reach]) for i in range(len(x))):
+                    want.append((r[0], q))
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_clean_judges_rows_and_not_ids(spark):
     """However many blocks the benchmark has, a contaminated row goes, whatever its id, and no other."""
     item = " ".join(f"b{i}" for i in range(20))
