@@ -357,7 +357,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int
         for batch in batches:
             for part, data, offsets in pieces(batch, f"c{at}"):
                 w = words(data, offsets)
-                row, begin, end, *_ = shared.value.search(Segment.of(w, shared.value.vocabulary))
+                segment = Segment.of(w, shared.value.vocabulary)
+                row, begin, end, *_ = shared.value.ranked(segment.df).search(segment)
                 hit = np.bincount(row, end - begin, part.num_rows)
                 keep = (hit == 0) | (hit * share < np.diff(w.first))
                 yield part.filter(pa.array(keep))
