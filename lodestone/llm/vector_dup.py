@@ -139,7 +139,7 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
 
 
-def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, list_rows: int = 1024, most_lists: int = 4096, subspaces: int = 8, codewords: int = 64, sample_rows: int = 16_000, block: int = 512) -> DataFrame:
+def vector_duplicates(vectors: DataFrame, *, threshold: float = 0.95, list_rows: int = 1024, most_lists: int = 4096, subspaces: int = 8, codewords: int = 64, sample_rows: int = 16_000, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
