@@ -30,9 +30,16 @@ def rate(n: Column, d: Column) -> Column:
     return F.when(d > 0, _div(n * 20000 + d, d * 2) / F.lit(100.0)).otherwise(F.lit(0.0))
 
 
+def half_up(n: Column, d: Column, digits: int) -> Column:
+    """round(n / d, digits) of integers, exact and away from zero at the half; 0 if d is 0."""
+    scale = 2 * 10**digits
+    cut = _div(F.abs(n) * scale + d, d * 2) / F.lit(float(10**digits))
+    return F.when(d > 0, F.when(n < 0, -cut).otherwise(cut)).otherwise(F.lit(0.0))
+
+
 def mean(total: Column, n: Column) -> Column:
-    """round(total / n, 2) of a decimal total with two digits, 0 if n is 0; totals are not negative."""
-    return F.when(n > 0, _div((total * 100).cast("long") * 2 + n, n * 2) / F.lit(100.0)).otherwise(F.lit(0.0))
+    """round(total / n, 2) of a decimal total with two digits, 0 if n is 0."""
+    return half_up((total * 100).cast("long"), n * 100, 2)
 
 
 def money(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Text columns: folding, tokens, language tests, typos, intent and query rewriting."""
+"""Text columns: folding, tokens, language tests, typos and intent."""
 
 from __future__ import annotations
 
@@ -7,19 +7,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Arabic letters and digits and what they fold to.
-FOLD_FROM = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
-FOLD_TO = "اااايهوي01234567890123456789"
-#: Invisible signs, and diacritics with the tatweel.
-INVISIBLE = "[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"
-MARKS = "[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640]"
-STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was")
+from . import lexicon
+
+FOLD_FROM = "".join(lexicon.FOLDS.values())
+FOLD_TO = "".join(k * len(v) for k, v in lexicon.FOLDS.items())
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+_SPACE = r"[\s\p{Z}\x85]+"
 
 
 def normalize(text: Column) -> Column:
     """Drops invisible signs and diacritics, folds letters and digits one to one, lower-cases, and collapses white space."""
-    bare = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), MARKS, "")
-    return F.trim(F.regexp_replace(F.lower(F.translate(bare, FOLD_FROM, FOLD_TO)), r"\s+", " "))
+    bare = F.regexp_replace(F.regexp_replace(text, lexicon.INVISIBLE, ""), lexicon.MARKS, "")
+    return F.trim(F.regexp_replace(F.lower(F.translate(bare, FOLD_FROM, FOLD_TO)), _SPACE, " "))
+
+
+def normal(text: str | None) -> str:
+    """``normalize`` for a text of the driver, such as a typed query."""
+    bare = re.sub(lexicon.MARKS, "", re.sub(lexicon.INVISIBLE, "", text or ""))
+    return " ".join(bare.translate(_FOLD).lower().split())
+
+
+def normal_token(text: str | None) -> str:
+    return normal(text).replace(" ", "")
+
+
+def tokens(text: Column, least: int = 2) -> Column:
+    """Distinct runs of letters and digits of normalised text."""
+    return F.array_distinct(F.filter(F.split(normalize(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least))
+
+
+STOP_WORDS = tuple(dict.fromkeys(map(normal_token, lexicon.STOP_WORDS)))
 
 
 def has_arabic(text: Column) -> Column:
@@ -27,15 +44,8 @@ def has_arabic(text: Column) -> Column:
 
 
 def loose_regex(word: str) -> str:
-    """A pattern that matches a word with any letter variant and optional diacritics."""
-    variants: dict[str, str] = {}
-    for a, b in zip(FOLD_FROM, FOLD_TO, strict=True):
-        variants[b] = variants.get(b, b) + a
-    out = []
-    for ch in word:
-        base = FOLD_TO[FOLD_FROM.index(ch)] if ch in FOLD_FROM else ch
-        out.append(f"[{variants[base]}]" if base in variants else re.escape(ch))
-    return f"{MARKS}*".join(out)
+    """A pattern that matches a normalised word in raw text: any letter variant, with diacritics and invisible signs between."""
+    return lexicon.BETWEEN.join(f"[{ch}{lexicon.FOLDS[ch]}]" if ch in lexicon.FOLDS else re.escape(ch) for ch in word)
 
 
 def keywords(text: Column, *, unique: bool = True, stop: Sequence[str] = STOP_WORDS, least: int = 2, most: int = 40) -> Column:
@@ -55,17 +65,49 @@ def language_class(text: Column) -> Column:
     )
 
 
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z]", "")
+
+
 def vowel_ratio(text: Column) -> Column:
-    latin = F.length(F.regexp_replace(text, "[^a-zA-Z]", ""))
-    return F.length(F.regexp_replace(text, "[^aeiouAEIOU]", "")) / F.greatest(latin, F.lit(1))
+    """Share of vowels among Latin letters."""
+    own = _letters(text)
+    return F.length(F.regexp_replace(own, "[^aeiou]", "")) / F.greatest(F.length(own), F.lit(1))
+
+
+def arabic_ratio(text: Column) -> Column:
+    """Share of Arabic signs among all that are no white space."""
+    solid = F.regexp_replace(text, r"\s+", "")
+    return F.length(F.regexp_replace(solid, "[^\u0600-\u06ff]", "")) / F.greatest(F.length(solid), F.lit(1))
+
+
+def is_arabic(text: Column) -> Column:
+    return arabic_ratio(text) > 0.30
+
+
+def is_mixed(text: Column) -> Column:
+    """Both scripts above 0.15 of all signs but spaces."""
+    signs = F.replace(text, F.lit(" "), F.lit(""))
+    total = F.greatest(F.length(signs), F.lit(1))
+    share = lambda other: F.length(F.regexp_replace(signs, other, "")) / total
+    return (share("[^\u0600-\u06ff]") > 0.15) & (share("[^a-zA-Z]") > 0.15)
 
 
 def is_gibberish(text: Column) -> Column:
-    """Hardly a vowel, five consonants in a row, or one sign in most places."""
-    latin = F.length(F.regexp_replace(text, "[^a-zA-Z]", ""))
-    each = F.transform(F.array_distinct(F.split(F.lower(text), "")), lambda ch: F.length(text) - F.length(F.replace(F.lower(text), ch, F.lit(""))))
-    repeats = F.coalesce(F.array_max(each), F.lit(0)) / F.greatest(F.length(text), F.lit(1))
-    return ((latin >= 4) & (vowel_ratio(text) < 0.10)) | text.rlike("(?i)[bcdfghjklmnpqrstvwxz]{5,}") | ((F.length(text) >= 4) & (repeats >= 0.70))
+    """Of four Latin letters and more: hardly a vowel, five consonants in a row, or a block of two to a third of the letters three times in most places."""
+    own = _letters(text)
+    size = F.length(own)
+    covers = lambda n: size - F.length(F.replace(own, F.substring(own, F.lit(1), n), F.lit("")))
+    repeats = F.exists(F.sequence(F.lit(2), F.greatest(F.floor(size / 3).cast("int"), F.lit(2))), lambda n: (covers(n) >= 3 * n) & (covers(n) / size >= 0.70))
+    odd = F.when(vowel_ratio(text) < 0.10, True).when(own.rlike("[^aeiou]{5,}"), True).when(size < 6, False).otherwise(repeats)
+    return F.when((size < 4) | is_arabic(text), False).otherwise(odd)
+
+
+def language_analysis(text: Column) -> dict[str, Column]:
+    """All language tests of a text."""
+    arabic = is_arabic(text)
+    mixed = ~arabic & is_mixed(text)
+    return {"is_arabic": arabic, "is_mixed": mixed, "is_english_only": ~arabic & ~mixed, "is_gibberish": is_gibberish(text), "vowel_ratio": vowel_ratio(text), "arabic_ratio": F.round(arabic_ratio(text), 4)}
 
 
 def strip_html(text: Column) -> Column:
@@ -79,67 +121,41 @@ def strip_html(text: Column) -> Column:
 def typo_candidates(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The nearest dictionary word of each unknown word: at most distance 1, 2 or 3 by length, similarity at least 0.60.
 
-    Candidates meet by length, so only words of a length within three are compared.
+    An edit reaches one place of a word only, so of the ``most`` + 1 even pieces of
+    a term one stands in the word unchanged, shifted by ``most`` at most. Words and
+    terms meet by such a piece, its number and the term's length; no pair is missed,
+    and pairs without a common piece are never made.
     """
-    most = F.when(F.length("word") <= 5, 1).when(F.length("word") <= 8, 2).otherwise(3)
-    own = words.select("word").distinct().withColumn("most", most).withColumn("size", F.explode(F.sequence(F.length("word") - F.col("most"), F.length("word") + F.col("most"))))
-    known = dictionary.select(F.col("term")).distinct().withColumn("size", F.length("term"))
-    d = F.levenshtein("word", "term")
-    near = own.join(known, "size").withColumn("distance", d).where(F.col("distance") <= F.col("most"))
-    similar = near.withColumn("similarity", 1 - F.col("distance") / F.greatest(F.length("word"), F.length("term"))).where("similarity >= 0.6")
+    most = lambda w: F.when(F.length(w) <= 5, 1).when(F.length(w) <= 8, 2).otherwise(3)
+    begin = lambda size, piece, pieces: F.floor(size * piece / pieces).cast("int")
+    own = words.select("word").distinct().withColumn("most", most("word"))
+    own = own.withColumn("size", F.explode(F.sequence(F.greatest(F.length("word") - F.col("most"), F.lit(1)), F.length("word") + F.col("most"))))
+    own = own.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    first, to = begin(F.col("size"), F.col("piece"), F.col("most") + 1), begin(F.col("size"), F.col("piece") + 1, F.col("most") + 1)
+    shifts = F.sequence(F.greatest(first - F.col("most"), F.lit(0)), first + F.col("most"))
+    own = own.withColumns({"n": to - first, "part": F.explode(F.array_distinct(F.transform(shifts, lambda at: F.substring("word", at + 1, to - first))))}).where(F.length("part") == F.col("n")).drop("n")
+    known = dictionary.select("term").distinct().withColumn("size", F.length("term")).withColumn("most", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    known = known.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    first, to = begin(F.col("size"), F.col("piece"), F.col("most") + 1), begin(F.col("size"), F.col("piece") + 1, F.col("most") + 1)
+    known = known.withColumn("part", F.substring("term", first + 1, to - first))
+    met = own.join(known, ["size", "most", "piece", "part"]).select("word", "most", "term").distinct()
+    near = met.withColumn("distance", F.levenshtein("word", "term")).where(F.col("distance") <= F.col("most"))
+    similar = near.where(1 - F.col("distance") / F.greatest(F.length("word"), F.length("term")) >= 0.6)
     best = similar.groupBy("word").agg(F.min(F.struct("distance", "term")).alias("b")).select("word", F.col("b.term").alias("term"), F.col("b.distance").alias("distance"))
-    return best.withColumn("confidence", F.when(F.col("distance") == 0, 0.95).when(F.col("distance") == 1, 0.88).when(F.col("distance") == 2, 0.72).otherwise(0.55))
+    return best.withColumn("confidence", F.when(F.col("distance") == 0, 1.0).when(F.col("distance") == 1, 0.88).when(F.col("distance") == 2, 0.72).otherwise(0.55))
 
 
-#: Weighted signals of each intent.
-INTENTS = {"buy": {"buy": 1.0, "price": 0.8, "cheap": 0.6, "order": 0.8}, "repair": {"fix": 1.0, "repair": 1.0, "broken": 0.7}, "compare": {"vs": 1.0, "compare": 1.0, "best": 0.5}, "learn": {"how": 0.8, "what": 0.6, "learn": 1.0, "guide": 0.7}}
+def intent(queries: DataFrame, signals: dict[str, dict[str, float]] = lexicon.INTENTS) -> DataFrame:
+    """The intent with the largest share of signal weight, if at least 0.3, else general; ``queries`` is (id, text).
 
-
-def intent(queries: DataFrame, signals: dict[str, dict[str, float]] = INTENTS) -> DataFrame:
-    """The intent with the largest share of signal weight, if at least 0.3, else general; ``queries`` is (id, text)."""
-    rows = [(i, w, float(x)) for i, words in signals.items() for w, x in words.items()]
-    table = queries.sparkSession.createDataFrame(rows, "intent string, word string, weight double")
-    words = queries.select("id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    summed = words.join(F.broadcast(table), "word").groupBy("id", "intent").agg(F.sum("weight").alias("w"))  # a fixed table
-    best = summed.groupBy("id").agg(F.max_by("intent", F.struct("w", "intent")).alias("intent"), (F.max("w") / F.sum("w")).alias("confidence"))
+    Of equal shares the intent named first wins.
+    """
+    order = {name: i for i, name in enumerate(signals)}
+    rows = [(i, order[i], w, float(x)) for i, words in signals.items() for w, x in words.items()]
+    table = queries.sparkSession.createDataFrame(rows, "intent string, place int, word string, weight double")
+    words = queries.select("id", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("word"))
+    summed = words.join(F.broadcast(table), "word").groupBy("id", "intent", "place").agg(F.sum("weight").alias("w"))  # a fixed table
+    best = summed.groupBy("id").agg(F.max_by("intent", F.struct("w", -F.col("place"))).alias("intent"), F.round(F.max("w") / F.sum("w"), 4).alias("confidence"))
     out = queries.select("id").join(best, "id", "left")
     sure = F.coalesce(F.col("confidence") >= 0.3, F.lit(False))
-    return out.select("id", F.when(sure, F.col("intent")).otherwise("general").alias("intent"), F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"))
-
-
-#: Phrases that exclude what follows, longest first.
-NEGATIONS = ("but not", "other than", "except for", "not including", "excluding", "without", "except", "minus", "not", "no")
-
-
-def split_negation(query: str) -> tuple[list[str], list[str]]:
-    """(include, exclude) words of a query: words before the phrase stay, at most four after it go.
-
-    Without words before, numbers go and words stay.
-    """
-    text = " ".join(query.lower().split())
-    for phrase in sorted(NEGATIONS, key=len, reverse=True):
-        m = re.search(rf"\b{re.escape(phrase)}\b", text)
-        if m:
-            before, after = text[: m.start()].split(), text[m.end() :].split()
-            if before:
-                return before, after[:4]
-            return [w for w in after if not w.isdigit()], [w for w in after if w.isdigit()]
-    return text.split(), []
-
-
-#: The same keys on both layouts.
-EN_KEYS = "qwertyuiop[]asdfghjkl;'zxcvnm,./"
-AR_KEYS = "ضصثقفغعهخحجدشسيبلاتنمكطئءؤرىةوزظ"
-
-
-def other_layout(text: Column, to_arabic: bool) -> Column:
-    """What the same keys give on the other layout."""
-    return F.translate(F.lower(text), EN_KEYS, AR_KEYS) if to_arabic else F.translate(text, AR_KEYS, EN_KEYS)
-
-
-def entities(text: Column, brands: Sequence[str]) -> dict[str, Column]:
-    """Brand, model, and price range named in a query."""
-    low = F.lower(text)
-    brand = F.element_at(F.filter(F.array(*[F.lit(b) for b in brands]), lambda b: low.contains(b)), 1) if brands else F.lit(None).cast("string")
-    number = lambda pattern: F.regexp_extract(low, pattern, 1).try_cast("double")
-    return {"brand": brand, "model": F.regexp_extract(low, r"\b([a-z]+[0-9]+[a-z0-9]*)\b", 1), "price_min": number(r"(?:over|above|from)\s+([0-9]+)"), "price_max": number(r"(?:under|below|to)\s+([0-9]+)")}
+    return out.select("id", F.when(sure, F.col("intent")).otherwise("general").alias("intent"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

@@ -51,4 +51,41 @@ def notifications(rows: DataFrame) -> DataFrame:
 
 
 def valid_sessions(sessions: DataFrame, blacklist: DataFrame, now: str) -> DataFrame:
-    return sessions.where(c("expires_at") > F.lit(now).cast("timestamp_ntz")).join(blacklist.select("token"), "token", "left_anti")
+    """Sessions that are neither over nor revoked and whose token is not on the list of blocked ones."""
+    own = sessions.where((c("expires_at") > F.lit(now).cast("timestamp_ntz")) & c("revoked_at").isNull())
+    return own.join(blacklist.select("token"), "token", "left_anti")
+
+
+def may_see(entries: DataFrame, rules: DataFrame, held: DataFrame) -> DataFrame:
+    """Per user and entry whether the user holds a feature that the entry asks for, or it asks for none.
+
+    ``held`` has (user_id, feature); an entry's and a user's features are few.
+    """
+    needs = rules.groupBy("entry_id").agg(F.collect_set("feature").alias("needs"))
+    mine = held.groupBy("user_id").agg(F.collect_set("feature").alias("mine"))
+    asked = entries.select("user_id", "entry_id").join(needs, "entry_id", "left").join(mine, "user_id", "left")
+    return asked.select("user_id", "entry_id", (c("needs").isNull() | F.coalesce(F.arrays_overlap("needs", "mine"), F.lit(False))).alias("allowed"))
+
+
+def metered_by_rules(events: DataFrame, rules: DataFrame, limits: DataFrame) -> DataFrame:
+    """Usage by the active rules of each event: ``check`` asks only, ``increment`` counts only, ``both`` asks and counts if there is room.
+
+    Events are (id, user_id, event_key, ts), rules (id, event_key, feature, mode, amount),
+    limits (feature, limit). Use is what earlier events of the user and feature have
+    counted; an event within the limit counts in full. A limit that some event of
+    ``both`` would pass is kept by counting those that still fit, in order.
+    """
+    own = events.join(rules.where("is_active").select("event_key", "feature", "mode", "amount", c("id").alias("rule")), "event_key").join(limits, "feature", "left")
+
+    def run(rows):
+        rows = rows.sort_values(["ts", "id", "rule"])
+        used, out = 0, []
+        for mode, amount, limit in zip(rows["mode"], rows["amount"], rows["limit"], strict=True):
+            fits = limit != limit or limit is None or used + amount <= limit
+            if mode == "increment" or mode == "both" and fits:
+                used += amount
+            out.append((mode == "increment" or fits, used))
+        return rows.assign(allowed=[bool(a) for a, _ in out], used=[int(u) for _, u in out])[["id", "user_id", "feature", "allowed", "used"]]
+
+    kind = {f.name: f.dataType.simpleString() for f in own.schema}
+    return own.groupBy("user_id", "feature").applyInPandas(run, f"id {kind['id']}, user_id {kind['user_id']}, feature string, allowed boolean, used bigint")

@@ -16,7 +16,7 @@ def sales_summary(orders: DataFrame, items: DataFrame, returns: DataFrame, p: Re
     head = own.agg(
         F.count(F.lit(1)).alias("total_orders"), money(c("total_price")).alias("total_revenue"),
         mean(F.coalesce(F.sum("total_price"), F.lit(0)), F.count(F.lit(1))).alias("avg_order_value"),
-        *[count_if(c("status") == s).alias(s) for s in ("pending", "paid", "delivered", "cancelled")],
+        *[count_if(c("status") == s).alias(s) for s in ("pending", "paid", "shipped", "delivered", "cancelled")],
         count_if(c("status").isin("returned", "partially_returned")).alias("returned"),
     ).withColumn("cancellation_rate", rate(c("cancelled"), c("total_orders"))).withColumn("return_rate", rate(c("returned"), c("total_orders")))
     sold = items.join(own.where(c("status") != "cancelled").select(c("id").alias("order_id")), "order_id").agg(F.coalesce(F.sum("quantity"), F.lit(0)).alias("items_sold"), F.countDistinct("product_id").alias("distinct_products"))
@@ -25,16 +25,16 @@ def sales_summary(orders: DataFrame, items: DataFrame, returns: DataFrame, p: Re
 
 
 def sales_trend(orders: DataFrame, p: ReportParams) -> DataFrame:
+    """Orders that are not cancelled, by period."""
     n = F.count(F.lit(1))
-    return orders.where(in_range(c("created_at"), p)).groupBy(bucket(c("created_at"), p.period).alias("period")).agg(
-        n.alias("orders"), money(c("total_price")).alias("revenue"), mean(F.sum("total_price"), n).alias("avg_order_value"), count_if(c("status") != "cancelled").alias("active_orders")
-    )
+    own = orders.where(in_range(c("created_at"), p) & (c("status") != "cancelled"))
+    return own.groupBy(bucket(c("created_at"), p.period).alias("period")).agg(n.alias("orders"), money(c("total_price")).alias("revenue"), mean(F.sum("total_price"), n).alias("avg_order_value"))
 
 
 def _product_sales(orders: DataFrame, items: DataFrame, p: ReportParams) -> DataFrame:
     own = orders.where(in_range(c("created_at"), p) & (c("status") != "cancelled")).select(c("id").alias("order_id"))
     return items.join(own, "order_id").groupBy("product_id").agg(
-        F.sum("quantity").alias("quantity_sold"), money(c("total")).alias("revenue"), F.countDistinct("order_id").alias("orders"), mean(F.sum("total"), F.sum("quantity")).alias("avg_price")
+        F.sum("quantity").alias("quantity_sold"), money(c("total")).alias("revenue"), F.countDistinct("order_id").alias("orders"), mean(F.sum("price"), F.count("price")).alias("avg_price")
     )
 
 
@@ -47,25 +47,29 @@ def top_products(orders: DataFrame, items: DataFrame, returns: DataFrame, p: Rep
 
 
 def least_sold(orders: DataFrame, items: DataFrame, p: ReportParams) -> DataFrame:
-    return _product_sales(orders, items, p).orderBy("quantity_sold", "product_id").limit(p.limit).select("product_id", "quantity_sold", "revenue")
+    return _product_sales(orders, items, p).orderBy("quantity_sold", "product_id").limit(p.limit).drop("avg_price")
 
 
-def offers_summary(offers: DataFrame, p: ReportParams) -> DataFrame:
-    now = F.lit(p.now).cast("timestamp_ntz")
-    return live(offers).agg(
-        F.count(F.lit(1)).alias("total"), count_if(c("is_active")).alias("active"), count_if(c("is_code_offer")).alias("code_offers"), count_if(c("is_active") & (c("end_at") < now)).alias("expired")
-    )
+def offers_summary(offers: DataFrame) -> DataFrame:
+    return live(offers).agg(F.count(F.lit(1)).alias("total"), count_if(c("is_active")).alias("active"), count_if(c("is_code_offer")).alias("code_offers"), count_if(~c("is_code_offer")).alias("automatic_offers"))
 
 
-def offers_performance(prices: DataFrame) -> DataFrame:
-    """Per offer: times applied, discount given, revenue after, mean discount."""
+def offers_performance(prices: DataFrame, offers: DataFrame, p: ReportParams) -> DataFrame:
+    """Per offer, deleted ones too: times applied within the range, discount given, revenue after, mean discount."""
     off = c("original_price") - c("final_price")
     n = F.count(F.lit(1))
-    return prices.where("is_applied").groupBy("offer_id").agg(n.alias("times_applied"), money(off).alias("discount_given"), money(c("final_price")).alias("revenue_after"), mean(F.sum(off), n).alias("avg_discount"))
+    own = prices.where(c("is_applied") & in_range(c("created_at"), p)).groupBy("offer_id").agg(n.alias("times_applied"), money(off).alias("discount_given"), money(c("final_price")).alias("revenue_after"), mean(F.sum(off), n).alias("avg_discount"))
+    return own.join(offers.select(c("id").alias("offer_id"), "benefit_type", "is_code_offer", "code", "is_active"), "offer_id")
+
+
+def offers_discount_total(performance: DataFrame) -> DataFrame:
+    return performance.agg(F.count(F.lit(1)).alias("offers"), F.sum("times_applied").alias("times_applied"), F.round(F.sum("discount_given"), 2).alias("total_discount"))
 
 
-def offers_discount_total(prices: DataFrame) -> DataFrame:
-    return offers_performance(prices).agg(F.count(F.lit(1)).alias("offers"), F.sum("times_applied").alias("times_applied"), F.round(F.sum("discount_given"), 2).alias("total_discount"))
+def code_subscribers(user_offers: DataFrame, offers: DataFrame, p: ReportParams) -> DataFrame:
+    """Users who took an offer within the range, per offer."""
+    own = user_offers.where(in_range(c("created_at"), p)).groupBy("offer_id").agg(F.count(F.lit(1)).alias("subscribers"))
+    return own.join(offers.select(c("id").alias("offer_id"), "code"), "offer_id")
 
 
 def top_customers(orders: DataFrame, p: ReportParams) -> DataFrame:
@@ -85,7 +89,7 @@ def new_and_returning(orders: DataFrame, p: ReportParams) -> DataFrame:
 
 
 def returns_summary(orders: DataFrame, returns: DataFrame, p: ReportParams) -> DataFrame:
-    own = returns.where(in_range(c("created_at"), p)).agg(F.count(F.lit(1)).alias("total"), *[count_if(c("status") == s).alias(s) for s in ("pending", "approved", "rejected")])
+    own = returns.where(in_range(c("created_at"), p)).agg(F.count(F.lit(1)).alias("total"), *[count_if(c("status") == s).alias(s) for s in ("pending", "approved", "rejected")], F.coalesce(F.sum("quantity"), F.lit(0)).alias("items_returned"))
     n = orders.where(in_range(c("created_at"), p)).agg(F.count(F.lit(1)).alias("orders"))
     return own.crossJoin(F.broadcast(n)).withColumn("approval_rate", rate(c("approved"), c("total"))).withColumn("return_vs_orders", rate(c("total"), c("orders")))
 
@@ -95,4 +99,4 @@ def most_returned(returns: DataFrame, p: ReportParams) -> DataFrame:
 
 
 def returns_trend(returns: DataFrame, p: ReportParams) -> DataFrame:
-    return returns.where(in_range(c("created_at"), p)).groupBy(bucket(c("created_at"), p.period).alias("period")).agg(F.count(F.lit(1)).alias("requests"), count_if(c("status") == "approved").alias("approved"))
+    return returns.where(in_range(c("created_at"), p)).groupBy(bucket(c("created_at"), p.period).alias("period")).agg(F.count(F.lit(1)).alias("requests"))
