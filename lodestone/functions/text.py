@@ -15,10 +15,19 @@ _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 _SPACE = r"[\s\p{Z}\x85]+"
 
 
+#: Signs that folding touches; other texts skip it.
+_TOUCHED = "[\u0600-\u06ff\u200b-\u200f\u202a-\u202e\u2060\ufeef\ufeff]"
+
+
+def folded(text: Column) -> Column:
+    """Without invisible signs and diacritics, letters and digits folded one to one, in lower case."""
+    bare = F.translate(F.regexp_replace(text, f"{lexicon.INVISIBLE}|{lexicon.MARKS}", ""), FOLD_FROM, FOLD_TO)
+    return F.lower(F.when(text.rlike(_TOUCHED), bare).otherwise(text))
+
+
 def normalize(text: Column) -> Column:
-    """Drops invisible signs and diacritics, folds letters and digits one to one, lower-cases, and collapses white space."""
-    bare = F.regexp_replace(F.regexp_replace(text, lexicon.INVISIBLE, ""), lexicon.MARKS, "")
-    return F.trim(F.regexp_replace(F.lower(F.translate(bare, FOLD_FROM, FOLD_TO)), _SPACE, " "))
+    """``folded``, with white space collapsed."""
+    return F.trim(F.regexp_replace(folded(text), _SPACE, " "))
 
 
 def normal(text: str | None) -> str:
@@ -33,7 +42,7 @@ def normal_token(text: str | None) -> str:
 
 def tokens(text: Column, least: int = 2) -> Column:
     """Distinct runs of letters and digits of normalised text."""
-    return F.array_distinct(F.filter(F.split(normalize(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least))
+    return F.array_distinct(F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least))
 
 
 STOP_WORDS = tuple(dict.fromkeys(map(normal_token, lexicon.STOP_WORDS)))
@@ -49,9 +58,8 @@ def loose_regex(word: str) -> str:
 
 
 def keywords(text: Column, *, unique: bool = True, stop: Sequence[str] = STOP_WORDS, least: int = 2, most: int = 40) -> Column:
-    """Tokens of normalised text: split at white space, - and _, without punctuation and stop words, 2 to 40 signs."""
-    parts = F.split(F.regexp_replace(normalize(text), r"[^\p{L}\p{N}\s_-]", " "), r"[\s_-]+")
-    kept = F.filter(parts, lambda w: F.length(w).between(least, most) & ~w.isin(*stop))
+    """Runs of letters and digits of folded text, without stop words, 2 to 40 signs."""
+    kept = F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w).between(least, most) & ~w.isin(*stop))
     return F.array_distinct(kept) if unique else kept
 
 

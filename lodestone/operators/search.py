@@ -20,12 +20,35 @@ def index(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"has_numbers": c("title").rlike("[0-9]"), "word_count": F.size(words), "title_length": F.char_length("title"), "primary_keyword": F.lower(F.substring_index(F.trim("title"), " ", 1))})
 
 
-def postings(documents: DataFrame, text: str = "content") -> DataFrame:
-    """(token, id, tf): an inverted index as a DataFrame."""
+def postings(documents: DataFrame, text: str = "content", only: Sequence[str] | None = None) -> DataFrame:
+    """(token, id, tf): an inverted index as a DataFrame.
+
+    ``only`` (words, or prefixes with a trailing *) cuts a column of normalised
+    text to the rows that hold any of them before it takes their tokens apart.
+    """
+    if only is not None:
+        documents = documents.where(_or([c(text).contains(w.rstrip("*")) for w in only]))
     tokens = documents.select("id", F.explode(keywords(c(text), unique=False)).alias("token"))
+    if only is not None:
+        tokens = tokens.where(_or([c("token").startswith(w[:-1]) if w.endswith("*") else c("token") == w for w in only]))
     return tokens.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def store_postings(postings_: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write postings in folders by a hash of the token, sorted by token, so that a search reads its words' folders only."""
+    dealt = postings_.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored_postings(spark, path: str, words: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Stored postings, of some whole words only if given; a prefix may stand in any folder."""
+    rows = spark.read.parquet(path)
+    if words is not None and not any(w.endswith("*") for w in words):
+        own = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets)).cast("int") for w in words])).first()[0]
+        rows = rows.where(c("bucket").isin(*own) & c("token").isin(*words))
+    return rows.drop("bucket")
+
+
 def retrieve(index_: DataFrame, groups: Sequence[Sequence[str]], mode: str = "and", exclude: Sequence[str] = ()) -> DataFrame:
     """(id, hits, tf): documents with a word of every group (``and``) or of any (``or``). A trailing * is a prefix."""
     def match(word: str) -> Column:
@@ -209,13 +232,18 @@ def _page(ranked: DataFrame, q: Search) -> DataFrame:
     return ranked.orderBy(F.desc("score"), "id").offset((q.page - 1) * q.per_page).limit(q.per_page)
 
 
+def query_words(processed: qy.Processed) -> list[str]:
+    """All words of a query's steps."""
+    return sorted({w for step in processed.steps for g in step for word in g.words for w in normal(word).split()})
+
+
 def search(index_: DataFrame, postings_: DataFrame, q: Search, processed: qy.Processed, exclude: Sequence[str] = (), **preference) -> DataFrame:
     """A page of ranked rows with their score, the total and the step that found them."""
     if not processed.words and exclude:
         return exclude_only(index_, q, exclude)
     found = first_step(index_, postings_, q, processed, exclude)
     total = found.agg(F.count(F.lit(1)).alias("total"))
-    words = sorted({w for step in processed.steps for g in step for word in g.words for w in normal(word).split()})
+    words = query_words(processed)
     scored = relevance(postings_, words, index_).withColumnRenamed("score", "fulltext")
     top = found.join(scored, "id", "left").withColumn("fulltext", F.coalesce("fulltext", F.lit(0.0))).orderBy(F.desc("fulltext"), "id").limit(q.fetched)
     clean = [w for w in map(normal_token, processed.words) if w]

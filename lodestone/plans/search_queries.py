@@ -17,6 +17,11 @@ def docs(t):
     return t("s_index").select("id", "title", "content")
 
 
+def words(t, *only):
+    """Postings of a search's words."""
+    return se.postings(t("s_index").select("id", "search_text"), "search_text", only)
+
+
 # Tokens in SQL: lower-case, other signs to spaces, split, 2 to 40 signs, no stop words.
 STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
@@ -28,12 +33,12 @@ def tokens(column: str) -> str:
 
 POST = f"p AS (SELECT token, id, COUNT(*) AS tf FROM (SELECT id, UNNEST({tokens('text')}) AS token FROM s_entries) GROUP BY 1, 2)"
 register("search_postings", f"WITH {POST} SELECT token, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS tf FROM p GROUP BY 1", lambda t: se.postings(docs(t)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")))
-register("search_and", f"WITH {POST} SELECT id, 2 AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token IN ('und', 'sich') GROUP BY 1 HAVING COUNT(DISTINCT token) = 2", lambda t: se.retrieve(se.postings(docs(t)), [["und"], ["sich"]]))
-register("search_or", f"WITH {POST} SELECT id, CAST(COUNT(DISTINCT CASE WHEN token = 'sur' THEN 1 ELSE 2 END) AS INT) AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token = 'sur' OR starts_with(token, 'under') GROUP BY 1", lambda t: se.retrieve(se.postings(docs(t)), [["sur"], ["under*"]], "or"))
-register("search_exclude", f"WITH {POST} SELECT id, 1 AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token = 'und' AND id NOT IN (SELECT id FROM p WHERE token = 'sich') GROUP BY 1", lambda t: se.retrieve(se.postings(docs(t)), [["und"]], exclude=["sich"]))
+register("search_and", f"WITH {POST} SELECT id, 2 AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token IN ('und', 'sich') GROUP BY 1 HAVING COUNT(DISTINCT token) = 2", lambda t: se.retrieve(words(t, "und", "sich"), [["und"], ["sich"]]))
+register("search_or", f"WITH {POST} SELECT id, CAST(COUNT(DISTINCT CASE WHEN token = 'sur' THEN 1 ELSE 2 END) AS INT) AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token = 'sur' OR starts_with(token, 'under') GROUP BY 1", lambda t: se.retrieve(words(t, "sur", "under*"), [["sur"], ["under*"]], "or"))
+register("search_exclude", f"WITH {POST} SELECT id, 1 AS hits, CAST(SUM(tf) AS BIGINT) AS tf FROM p WHERE token = 'und' AND id NOT IN (SELECT id FROM p WHERE token = 'sich') GROUP BY 1", lambda t: se.retrieve(words(t, "und", "sich"), [["und"]], exclude=["sich"]))
 STEPS = "(SELECT id, COUNT(DISTINCT token) AS hits, CAST(SUM(tf) AS BIGINT) AS tf, 0 AS step FROM p WHERE token IN ('sur', 'nosuchword') GROUP BY 1 HAVING COUNT(DISTINCT token) = 2 UNION ALL SELECT id, COUNT(DISTINCT token), CAST(SUM(tf) AS BIGINT), 1 FROM p WHERE token IN ('sur', 'und') GROUP BY 1 UNION ALL SELECT id, 1, tf, 2 FROM p WHERE token = 'erthat')"
-register("search_relaxation", f"WITH {POST}, s AS {STEPS} SELECT id, CAST(hits AS INT) AS hits, tf, step FROM s WHERE step = (SELECT MIN(step) FROM s)", lambda t: se.relax(se.postings(docs(t)), [([["sur"], ["nosuchword"]], "and"), ([["sur"], ["und"]], "or"), ([["erthat"]], "or")]))
-register("search_relevance", f"WITH {POST}, d AS (SELECT token, COUNT(*) AS df FROM p WHERE token IN ('und', 'sur') GROUP BY 1) SELECT id, ROUND(SUM(tf * pow(log10((SELECT COUNT(*) FROM s_index)::DOUBLE / df), 2)), 6) AS score FROM p JOIN d USING (token) GROUP BY 1", lambda t: se.relevance(se.postings(docs(t)), ["und", "sur"], t("s_index")))
+register("search_relaxation", f"WITH {POST}, s AS {STEPS} SELECT id, CAST(hits AS INT) AS hits, tf, step FROM s WHERE step = (SELECT MIN(step) FROM s)", lambda t: se.relax(words(t, "sur", "nosuchword", "und", "erthat"), [([["sur"], ["nosuchword"]], "and"), ([["sur"], ["und"]], "or"), ([["erthat"]], "or")]))
+register("search_relevance", f"WITH {POST}, d AS (SELECT token, COUNT(*) AS df FROM p WHERE token IN ('und', 'sur') GROUP BY 1) SELECT id, ROUND(SUM(tf * pow(log10((SELECT COUNT(*) FROM s_index)::DOUBLE / df), 2)), 6) AS score FROM p JOIN d USING (token) GROUP BY 1", lambda t: se.relevance(words(t, "und", "sur"), ["und", "sur"], t("s_index")))
 
 
 def candidates(t):
@@ -61,7 +66,7 @@ register("search_rank", f"SELECT id, {rank_sql(['the', '7'], 'of the', TASTE)} A
 register("index_features", "SELECT id, regexp_matches(title, '[0-9]') AS has_numbers, CAST(len(string_split_regex(trim(title), ' +')) AS INT) AS word_count, CAST(length(title) AS INT) AS title_length, lower(string_split(trim(title), ' ')[1]) AS primary_keyword FROM s_index", lambda t: se.index(docs(t)).drop("title", "content"))
 register("snippet", "SELECT id, CASE WHEN strpos(lower(text), 'of the') > 0 THEN substring(text, GREATEST(strpos(lower(text), 'of the') - 60, 1), 160) ELSE substring(text, 1, 160) END AS snippet FROM s_entries", lambda t: t("s_entries").select("id", se.snippet(F.col("text"), "of the").alias("snippet")))
 register("highlight", "SELECT p_partkey AS id, regexp_replace(regexp_replace(p_name, '(widget)', '**\\1**', 'gi'), '(ring)', '**\\1**', 'gi') AS name FROM part", lambda t: t("parts").select(F.col("p_partkey").alias("id"), se.highlight(F.col("p_name"), ["ring", "widget"]).alias("name")))
-register("compare_results", f"WITH {POST}, a AS (SELECT id FROM p WHERE token IN ('und', 'sich') GROUP BY 1 HAVING COUNT(DISTINCT token) = 2), b AS (SELECT DISTINCT id FROM p WHERE token IN ('sich', 'sur')) SELECT CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'lost' ELSE 'common' END AS state, COUNT(*) AS n FROM a FULL JOIN b ON a.id = b.id GROUP BY 1", lambda t: se.compare(se.retrieve(se.postings(docs(t)), [["und"], ["sich"]]), se.retrieve(se.postings(docs(t)), [["sich"], ["sur"]], "or")).groupBy("state").agg(F.count(F.lit(1)).alias("n")))
+register("compare_results", f"WITH {POST}, a AS (SELECT id FROM p WHERE token IN ('und', 'sich') GROUP BY 1 HAVING COUNT(DISTINCT token) = 2), b AS (SELECT DISTINCT id FROM p WHERE token IN ('sich', 'sur')) SELECT CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'lost' ELSE 'common' END AS state, COUNT(*) AS n FROM a FULL JOIN b ON a.id = b.id GROUP BY 1", lambda t: se.compare(se.retrieve(words(t, "und", "sich"), [["und"], ["sich"]]), se.retrieve(words(t, "sich", "sur"), [["sich"], ["sur"]], "or")).groupBy("state").agg(F.count(F.lit(1)).alias("n")))
 
 # The whole search
 ASK = se.Search("und sich without nicht", 1, "de", 1, 10)

@@ -185,6 +185,17 @@ def test_search_mends_queries(spark):
     assert ask("zzqq") == (None, 0, [])
 
 
+def test_stored_postings(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red ring"), (2, "red widget red"), (3, "bolt")], "id long, content string")
+    made = se.postings(rows)
+    se.store_postings(made, str(tmp_path / "p"), 4)
+    read = lambda words=None: sorted(map(tuple, se.stored_postings(spark, str(tmp_path / "p"), words, 4).select("token", "id", "tf").collect()))
+    assert read() == sorted(map(tuple, made.collect())) and read(["red", "no"]) == [("red", 1, 1), ("red", 2, 2)] == sorted(map(tuple, se.postings(rows, only=["red"]).collect()))
+    assert [r for r in read(["re*"]) if r[0] == "red"] == read(["red"])
+    plan = se.stored_postings(spark, str(tmp_path / "p"), ["bolt"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
 def test_jobs_and_breaker():
     at = dt.datetime(2024, 1, 2, 1, 30)
     assert ingest.due({}, at) == list(ingest.JOBS)
