@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -115,15 +116,17 @@ def rerank(
     favoured = lexicon.INTENT_TYPES.get(intent, ()) if confidence >= 0.3 else ()
     if favoured:
         parts.append(F.when(c("data_type_slug").isin(*favoured), confidence * 5.0).otherwise(0.0))
-    if terms:
-        rows = rows.withColumn("_w", keywords(F.concat_ws(" ", title, content)))
-        parts += [F.when(F.array_contains("_w", term), affinity * 6.0).otherwise(0.0) for term, affinity in terms.items()]
+    for term, affinity in (terms or {}).items():
+        # A term is a token: a run of letters and digits.
+        alone = rf"(^|[^\p{{L}}\p{{N}}]){re.escape(term)}([^\p{{L}}\p{{N}}]|$)"
+        held = [text.contains(term) & text.rlike(alone) for text in (title, content)]
+        parts.append(F.when(held[0] | held[1], affinity * 6.0).otherwise(0.0))
     parts += [F.when(c("data_type_id") == number, affinity * 2.0).otherwise(0.0) for number, affinity in (types or {}).items() if affinity > 0]
     last = F.lit(0.0)
     for word, weight in reversed(recent):  # the first hit counts
         last = F.when(title.contains(normal_token(word)), weight * 2.0).otherwise(last)
     score = sum(parts[1:], parts[0]) + last
-    return rows.withColumn("score", F.round(score.cast("double"), 4)).drop("_t", "_c", "_w")
+    return rows.withColumn("score", F.round(score.cast("double"), 4)).drop("_t", "_c")
 
 
 def snippet(text: Column, word: str, before: int = 60, after: int = 100, fallback: int = 160) -> Column:
