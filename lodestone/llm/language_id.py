@@ -10,8 +10,9 @@ largest corrected share of the document's trigrams wins.
 Defined results: null text, empty text and text without a letter give ``und``
 with score 0. Ties go to the language that sorts first. Repeated rows are
 judged one by one. Null ids count as held out. Without training rows every
-text is ``und``. Only the named columns are read, so extra columns may bear any
-name.
+text is ``und``, and an empty table gives an empty result. Texts may be of any
+length: they are worked on in segments. Only the named columns are read, so extra
+columns may bear any name.
 """
 
 from __future__ import annotations

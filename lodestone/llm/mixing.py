@@ -11,7 +11,9 @@ are taken is decided by a seeded hash of their id.
 Defined results: null text has size 0; documents of size 0 take 0 words. A null
 source is a source of its own. Repeated rows are separate documents. Equal ids
 are ordered by their size only, so reruns agree. An empty table gives an empty
-result.
+result. Texts may be of any length; other columns are not read. One row a source
+goes to the driver. Above ``EXACT`` words of budget the share of each length and
+then the longest documents that fit are taken; the program decides the rest.
 """
 
 from __future__ import annotations

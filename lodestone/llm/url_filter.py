@@ -7,7 +7,9 @@ judging stays within code generation. Only DataFrame and SQL functions are used.
 Defined results: a null URL or one without ``://`` has an empty host and path;
 no rule fits it, and the trees judge it by its features (a null URL counts as
 empty text). Without labelled rows of both verdicts the trees are left out: the
-only verdict seen decides, or else ``allow``. Repeated rows are judged one by one.
+only verdict seen decides, or else ``allow``. Repeated rows are judged one by one;
+null page ids are kept. URLs of one score share a verdict, and 0.5 allows. URLs may
+be of any length; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -74,6 +74,66 @@ def test_repeats(docs, rows):
         assert r["n_spans"] == len(re.findall(b"\1+", bytes(cover)))
 
 
+def test_language_masks_against_sets():
+    """Sliced filters give the counts that one plain set of slots a language gives, and no learned trigram is missed."""
+    texts = ["the house and the water", "das wasser und der fluss", "", None, "Ωmega thé über", "x1y2", "THE AND"]
+    keys = {"de": ["das wasser und der fluss stein"], "en": ["the house and the water light"], "xx": ["zzz yyy"]}
+    grams = {name: sorted({int(k) for _, key in language_id._grams(*textbytes.text_bytes(pa.array(t))) for k in key}) for name, t in keys.items()}
+    m = 1 << 10
+    slots = {name: {tuple(int(s[0]) for s in language_id._slots(np.array([k], np.uint64), m)) for k in own} for name, own in grams.items()}
+    filled = {name: [{t[i] for t in own} for i in range(3)] for name, own in slots.items()}
+    slices = np.zeros((m, 1), np.uint8)
+    for at, name in enumerate(sorted(grams)):
+        for rows_ in filled[name]:
+            for i in rows_:
+                slices[i, 0] |= 1 << at
+    any_row = {name: set().union(*filled[name]) for name in grams}
+    model = language_id.LanguageModel(sorted(grams), slices, np.zeros(3), np.ones(3))
+    names, score, count = model.predict(pa.array(texts))
+    for i, t in enumerate(texts):
+        own = [int(k) for _, key in language_id._grams(*textbytes.text_bytes(pa.array([t], pa.string()))) for k in key]
+        hits = {n: sum(all(int(s[0]) in any_row[n] for s in language_id._slots(np.array([k], np.uint64), m)) for k in own) for n in grams}
+        assert count[i] == len(own) and all(hits[n] >= sum(k in grams[n] for k in own) for n in grams)
+        if own:
+            best = max(sorted(hits), key=lambda n: hits[n])
+            assert names[i] == best and abs(score[i] - hits[best] / len(own)) < 1e-12
+        else:
+            assert names[i] == "und" and score[i] == 0
+
+
+def test_very_long_texts(spark):
+    """One text of 20 MB, and others beside it."""
+    import resource
+
+    words = [text("en", 40), text("de", 40)]
+    long_text = (words[0] + " ") * (20_000_000 // (len(words[0]) + 1))
+    model = language_id.train(spark.createDataFrame([(i, words[i % 2], "en" if i % 2 == 0 else "de") for i in range(20)], "doc_id long, text string, lang string"))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    names, score, _ = model.predict(pa.array([words[1], long_text, None]))
+    assert names == ["de", "en", "und"] and score[1] > 0.9
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 120_000  # kB
+    r = random.Random(3)
+    whole = "".join(r.choice("abcdefghijkl ") for _ in range(3_000_000))
+    rows = [(1, whole[1_000_000:1_000_400]), (2, whole), (3, whole[:60])]
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in suffix_dup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (400, 0, 0), 2: (3_000_000, 400, 1), 3: (60, 60, 1)}
+
+
+def test_names_that_clash(spark, docs):
+    """Extra columns may bear any name, those of results and of work tables too."""
+    odd = docs.select("doc_id", "text", "lang", "source", *[F.lit(1).alias(n) for n in ("key", "k", "n", "id", "bucket", "held_out", "copies", "target", "taken", "shard", "slot", "law", "part", "kind", "class_id", "kept", "row", "segment", "items", "hk")])
+    bench = spark.createDataFrame([(1, "haus und", 3)], "item_id long, text string, n int")
+    for made in (lambda d: language_id.language_id(d), lambda d: suffix_dup.remove_repeats(d).drop("spans"), mixing.mix, lambda d: decontaminate.decontaminate(d, bench), lambda d: brown_lm.score(d, units=8, classes=4), sharding.shard, near_dup.near_duplicates):
+        plain, clashed = made(docs.select("doc_id", "text", "lang", "source")), made(odd)
+        assert plain.columns == clashed.columns
+        assert sorted(map(str, plain.collect())) == sorted(map(str, clashed.collect()))
+    pages = [(i, f"http://{h}.net/es/{i}", f"<article><p>text {i}</p></article>", 1) for i, h in enumerate("aabb")] + [(None, None, None, 1), (0, "http://a.net/es/0", "<p>x", 1)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, one int")
+    odd = frame.select("page_id", "url", "html", *[F.col("one").alias(n) for n in ("host", "path", "rule", "verdict", "score", "label", "suffix", "text", "rest", "content", "parts", "keys", "features")])
+    for made in (html_text.extract, url_filter.url_filter):
+        assert sorted(map(str, made(odd).collect())) == sorted(map(str, made(frame.drop("one")).collect()))
+
+
 def brute_repeats(rows, window=50):
     first, out = {}, []
     for i, t in sorted((i, (t or "").encode()) for i, t in rows if i is not None):
@@ -516,6 +576,23 @@ def test_near_duplicates_against_all_pairs(spark):
         assert sorted(x[0] for x in named if x["kept"] and x[0] is not None) == sorted(names.values())
 
 
+def test_trees_judge_urls_without_a_rule(spark):
+    """Compiled trees give the library's probabilities, and judge hosts of unseen suffixes by what blocked URLs look like."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    good = lambda host: f"https://{word()}.{host}/{word()}/{word()}"
+    bad = lambda host: f"http://{word()}-{r.randint(1000, 99999)}.{host}/{word()}?a={r.randint(1, 9**9)}&b={r.randint(1, 9**9)}&c={word()}"
+    rules = {"good.com/": "allow", "bad.com/": "block"}
+    urls = [(good("good.com"), "allow") for _ in range(200)] + [(bad("bad.com"), "block") for _ in range(200)]
+    urls += [(good(h), "allow") for h in ("x.org", "y.io") for _ in range(50)] + [(bad(h), "block") for h in ("x.org", "z.biz") for _ in range(50)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    got = {x["page_id"]: x for x in url_filter.url_filter(pages, rules=rules).collect()}
+    assert all((got[i]["rule"] is not None) == (i < 400) for i in got)
+    assert all(got[i]["verdict"] == urls[i][1] for i in range(400))
+    assert sum(got[i]["verdict"] == urls[i][1] for i in range(400, 600)) / 200 >= 0.95
+    assert [x["verdict"] for x in url_filter.url_filter(pages.limit(3), rules={}).collect()] == ["allow"] * 3
+
+
 def test_urls(spark):
     rows = [(1, "http://Www.Example.COM/en/a?x#y"), (2, "https://a.net/fr/b"), (3, "ftp://x.com"), (4, None), (5, "no scheme"), (6, "http://b.org/?q"), (7, "http://x.example.com/en/"), (8, "http://y.com/z")]
     df = spark.createDataFrame(rows, "page_id long, url string")
