@@ -440,8 +440,11 @@ def signals(rows: DataFrame, now: str) -> DataFrame:
     return out.withColumn("popularity", F.round(0.6 * F.ln(c("clicks") + 1.0) + 0.3 * F.ln(c("views") + 1.0) + 0.1 * c("freshness"), 4))
 
 
-def rating_popularity(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("popularity_rating", F.round(2 * F.log10(c("ratings_count") + 1.0) + 1.5 * F.log10(c("clicks") + 1.0) + 0.5 * c("ratings_avg"), 4))
+def rating_popularity(index_: DataFrame, entries: DataFrame) -> DataFrame:
+    """Index rows with the popularity that their entries' ratings give; rows of unknown entries keep none."""
+    rated = entries.select(c("id").alias("entry_id"), c("ratings_count").alias("_n"), c("ratings_avg").cast("double").alias("_avg"))
+    score = F.round(2 * F.log10(c("_n") + 1.0) + 1.5 * F.log10(c("clicks") + 1.0) + 0.5 * c("_avg"), 4)
+    return index_.join(rated, "entry_id", "left").withColumn("popularity_rating", score).drop("_n", "_avg")
 
 
 def type_affinity(clicks: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ register("manual_collection", "SELECT collection_id, entry_id, CAST(ROW_NUMBER()
 WALK = "WITH RECURSIVE w(ancestor, descendant, distance) AS (SELECT parent, child, 1 FROM s_edges UNION SELECT w.ancestor, e.child, w.distance + 1 FROM w JOIN s_edges e ON e.parent = w.descendant WHERE w.distance < 12) SELECT ancestor, descendant, CAST(MIN(distance) AS INT) AS distance FROM w WHERE ancestor <> descendant GROUP BY 1, 2"
 register("graph_closure", WALK, lambda t: ct.closure(t("s_edges")))
 register("tree_roots", "SELECT DISTINCT parent AS id FROM s_edges WHERE parent NOT IN (SELECT child FROM s_edges)", lambda t: ct.roots(t("s_edges")))
-register("graph_neighbours", "SELECT COALESCE(u.id, d.id) AS id, COALESCE(parents, []) AS parents, COALESCE(children, []) AS children, CAST(len(COALESCE(parents, [])) AS INT) AS n_parents, CAST(len(COALESCE(children, [])) AS INT) AS n_children FROM (SELECT child AS id, list_sort(list(parent)) AS parents FROM s_edges GROUP BY 1) u FULL JOIN (SELECT parent AS id, list_sort(list(child)) AS children FROM s_edges GROUP BY 1) d ON u.id = d.id", lambda t: ct.neighbours(t("s_edges")))
+register("graph_neighbours", "SELECT COALESCE(u.id, d.id) AS id, COALESCE(parents, '') AS parents, COALESCE(children, '') AS children, COALESCE(u.n, 0) AS n_parents, COALESCE(d.n, 0) AS n_children FROM (SELECT child AS id, COUNT(*) AS n, array_to_string(list_sort(list(parent)), ',') AS parents FROM s_edges GROUP BY 1) u FULL JOIN (SELECT parent AS id, COUNT(*) AS n, array_to_string(list_sort(list(child)), ',') AS children FROM s_edges GROUP BY 1) d ON u.id = d.id", lambda t: ct.neighbours(t("s_edges")).withColumns({k: F.array_join(F.col(k).cast("array<string>"), ",") for k in ("parents", "children")} | {k: F.col(k).cast("long") for k in ("n_parents", "n_children")}))
 register("entry_forest", "WITH RECURSIVE r AS (SELECT DISTINCT parent AS root FROM s_edges WHERE parent NOT IN (SELECT child FROM s_edges)), w(root, id, depth) AS (SELECT root, root, 0 FROM r UNION SELECT w.root, e.child, w.depth + 1 FROM w JOIN s_edges e ON e.parent = w.id WHERE w.depth < 12) SELECT root, id, CAST(MIN(depth) AS INT) AS depth FROM w GROUP BY 1, 2", lambda t: ct.forest(t("s_edges")))
 register("relation_check", "SELECT parent, child FROM s_edges WHERE child NOT IN (SELECT 1000 + s_suppkey FROM supplier)", lambda t: ct.dangling(t("s_edges"), t("s_resources").select((F.col("id") + 1000).alias("id"))).select("parent", "child"))
 

@@ -113,7 +113,7 @@ register("installments", "SELECT id, CAST(LEAST(total - paid, CAST(total // 4 AS
 register("wishlists", "SELECT c_custkey AS id, COALESCE(n, 0) AS items, COALESCE(last, 0) + 1 AS next_sort_order FROM customer LEFT JOIN (SELECT o_custkey AS k, COUNT(*) AS n, MAX(o_orderkey) AS last FROM orders GROUP BY 1) ON k = c_custkey", lambda t: pricing.wishlists(t("customers").select(F.col("c_custkey").alias("id")), t("s_orders").select(F.col("user_id").alias("wishlist_id"), F.col("id").alias("sort_order"))))
 # Lookups
 register("plan_slug_taken", "SELECT COUNT(*) > 0 AS taken FROM s_plans WHERE project_id = 3 AND slug = 'plan2' AND id <> 0", lambda t: lookups.slug_taken(t("s_plans"), "plan2", 3, 0))
-register("active_plans", "SELECT id, project_id, slug, is_active, COALESCE(features, []) AS features FROM s_plans LEFT JOIN (SELECT plan_id, list_sort(list(feature)) AS features FROM s_plan_features GROUP BY 1) ON plan_id = id WHERE is_active", lambda t: lookups.active_plans(t("s_plans"), t("s_plan_features")))
+register("active_plans", "SELECT id, project_id, slug, is_active, COALESCE(features, '') AS features FROM s_plans LEFT JOIN (SELECT plan_id, array_to_string(list_sort(list(feature)), ',') AS features FROM s_plan_features GROUP BY 1) ON plan_id = id WHERE is_active", lambda t: lookups.active_plans(t("s_plans"), t("s_plan_features")).withColumn("features", F.array_join("features", ",")))
 register("active_rules", "SELECT id, feature FROM s_rules WHERE is_active AND event_key = 'view' AND project_id = 1 UNION ALL SELECT id, feature FROM s_rules WHERE is_active AND event_key = 'purchase' AND project_id IS NULL", lambda t: lookups.active_rules(t("s_rules"), "view", 1).unionByName(lookups.active_rules(t("s_rules"), "purchase")).select("id", "feature"))
 register("first_rule", "SELECT id FROM s_rules WHERE is_active AND event_key = 'view' AND project_id = 1 ORDER BY id LIMIT 1", lambda t: lookups.first_rule(t("s_rules"), "view", 1).select("id"))
 register("repeated_fields", "SELECT data_type_id, name, COUNT(*) AS n FROM s_fields GROUP BY 1, 2 HAVING COUNT(*) > 1", lambda t: lookups.repeated_names(t("s_fields")))

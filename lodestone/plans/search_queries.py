@@ -150,7 +150,7 @@ PAIRS = f"""WITH k AS (SELECT keyword, list_sort(list_distinct({tokens('keyword'
 register("synonym_pairs", f"SELECT * FROM ({PAIRS}) WHERE confidence >= 0.2", lambda t: se.synonym_pairs(t("s_searches"), NOW, days=20, least_jaccard=0.02))
 register("learned_synonyms", f"WITH q AS (SELECT * FROM ({PAIRS}) WHERE confidence >= 0.3), b AS (SELECT a AS word, b AS synonym, confidence FROM q UNION ALL SELECT b, a, confidence FROM q) SELECT word, synonym, confidence, CAST(rank AS INT) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY word ORDER BY confidence DESC, synonym) AS rank FROM b) WHERE rank <= 3", lambda t: se.learned_synonyms(se.synonym_pairs(t("s_searches"), NOW, days=20, least_jaccard=0.02), 0.3))
 register("ctr_signals", f"SELECT id, ctr, freshness, ROUND(0.6::DOUBLE * ln(clicks + 1) + 0.3::DOUBLE * ln(views + 1) + 0.1::DOUBLE * freshness, 4) AS popularity FROM (SELECT id, clicks, views, CAST((clicks * 20000 + views + 1) // ((views + 1) * 2) AS DOUBLE) / 10000 AS ctr, CASE WHEN d <> -1 THEN ROUND(1::DOUBLE / (d + 1), 4) END AS freshness FROM (SELECT *, DATE '2024-01-28' - CAST(published_at AS DATE) AS d FROM s_entries))", lambda t: se.signals(t("s_entries"), NOW).select("id", "ctr", "freshness", "popularity"))
-register("popularity_rating", "SELECT id, ROUND(2 * log10(ratings_count + 1) + 1.5::DOUBLE * log10(clicks + 1) + 0.5::DOUBLE * CAST(ratings_avg AS DOUBLE), 4) AS popularity_rating FROM s_entries", lambda t: se.rating_popularity(t("s_entries").withColumn("ratings_avg", F.col("ratings_avg").cast("double"))).select("id", "popularity_rating"))
+register("popularity_rating", "SELECT x.id, ROUND(2 * log10(e.ratings_count + 1) + 1.5::DOUBLE * log10(x.clicks + 1) + 0.5::DOUBLE * CAST(e.ratings_avg AS DOUBLE), 4) AS popularity_rating FROM s_index x LEFT JOIN (SELECT * FROM s_entries WHERE id % 4 > 0) e ON e.id = x.entry_id", lambda t: se.rating_popularity(t("s_index"), t("s_entries").where("id % 4 > 0")).select("id", "popularity_rating"))
 register("user_type_affinity", "SELECT user_id, type, COUNT(*) AS n, ROUND(COUNT(*)::DOUBLE / (COUNT(*) + 3), 4) AS affinity FROM s_clicks GROUP BY 1, 2 HAVING COUNT(*) >= 2", lambda t: se.type_affinity(t("s_clicks")))
 TERMS = f"SELECT user_id, UNNEST(list_distinct({tokens('text')})) AS term FROM s_clicks"
 register("user_term_affinity", f"SELECT user_id, term, n, ROUND(n::DOUBLE / (n + 2), 4) AS affinity FROM (SELECT user_id, term, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY COUNT(*) DESC, term) AS r FROM ({TERMS}) GROUP BY 1, 2 HAVING COUNT(*) >= 2) WHERE r <= 20", lambda t: se.term_affinity(t("s_clicks")))

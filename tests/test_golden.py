@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import lexicon, query as qy, text as tx
 from lodestone.operators import bookings as bk, content as ct, indexing, lookups, pricing, search as se
 from lodestone.params import ReportParams
+from lodestone.sources import io
 from lodestone.streaming import ingest
 
 T = dt.datetime.fromisoformat
@@ -196,6 +197,32 @@ def test_stored_postings(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
 
 
+def test_extension_points(spark, monkeypatch):
+    monkeypatch.setattr(ct, "PREDICATES", dict(ct.PREDICATES))
+    monkeypatch.setattr(pricing, "DISCOUNTS", dict(pricing.DISCOUNTS))
+    ct.register_predicate("starts", lambda v, x: v.startswith(x))
+    pricing.register_discount("half", lambda price, _: price / 2)
+    values = spark.createDataFrame([(1, "name", "abc"), (2, "name", "xbc")], "entry_id long, field string, value string")
+    assert [r[0] for r in ct.matching(values, "name", "starts", "a").collect()] == [1]
+    row = spark.createDataFrame([(10, "half", 0)], "price int, kind string, value int")
+    assert float(row.select(pricing.discounted(F.col("price"), F.col("kind"), F.col("value"))).first()[0]) == 5.0
+
+
+def test_tables_and_queues(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "project_id int, name string")
+    io.append(rows((1, "a"), (2, "b")), root, "t", ["project_id"])
+    io.append(rows((1, "c")), root, "t", ["project_id"])
+    io.overwrite(rows((2, "d")), root, "t", ["project_id"])
+    read = lambda: sorted((r["project_id"], r["name"]) for r in io.read_table(spark, root, "t").collect())
+    assert read() == [(1, "a"), (1, "c"), (2, "d")]
+    assert io.read_table(spark, root, "t", "name string, other long").where("other is null").count() == 3
+    io.send(ingest.published(rows((1, "x")), "cms.project.created", "cms", "now"), root + "/q")
+    seen = []
+    ingest.micro_batch(io.queue(spark, root + "/q", 1), lambda b: seen.extend(r["routing_key"] for r in b.collect()), root + "/c").awaitTermination(120)
+    assert seen == ["cms.project.created"]
+
+
 def test_jobs_and_breaker():
     at = dt.datetime(2024, 1, 2, 1, 30)
     assert ingest.due({}, at) == list(ingest.JOBS)
