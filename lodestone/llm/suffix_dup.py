@@ -48,6 +48,7 @@ _SEGMENT = 512 << 10
 _FLUSH = 1 << 21
 _TEXTS = 16 << 20
 _LOW = np.uint64((1 << 32) - 1)
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -69,11 +70,6 @@ def _prefix(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def _hashes(total: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from each place."""
-    return mix((total[at + size] - total[at]) * powers(len(total))[1][at])
-
-
 def _segments(offsets: np.ndarray, window: int) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row + 1, first byte, last byte + 1): about ``_SEGMENT`` bytes each, and every window in just one."""
     i, n = 0, len(offsets) - 1
@@ -102,75 +98,85 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tupl
         if not len(live):
             continue
         total = _prefix(part)
+        hashes = mix((total[gram:] - total[:-gram]) * powers(len(total))[1][: len(total) - gram])
         mark = np.zeros(len(part) + 1, np.int8)
         mark[bounds[live]] += 1
         np.add.at(mark, bounds[live] + size[live] - window + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8))
-        places = np.arange(len(part) - gram + 1)
-        key = (_hashes(total, places, gram) >> bits << bits) | places.astype(np.uint64)
+        key = hashes >> bits
+        key <<= bits
+        key |= np.arange(len(key), dtype=np.uint64)
         width, reach = window - gram + 1, 1
         while reach * 2 <= width:
             key = np.minimum(key[: len(key) - reach], key[reach:])
             reach *= 2
-        anchor = (np.minimum(key[starts], key[starts + width - reach]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        key = np.minimum(key[: len(key) - (width - reach)], key[width - reach :])
+        anchor = (key[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         last = np.append(edge[1:], len(starts)) - 1
         at = anchor[edge]
         # Anchors are small hashes: spread them again.
-        yield mix(_hashes(total, at, gram)), at + low, starts[edge] + low, starts[last] + low
-
-
-def _digits(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a number in the order of bytes."""
-    n = len(data)
-    full = np.append(data, np.zeros(16, np.uint8))
-    out = np.empty(n, np.uint64)
-    for i in range(min(8, n)):
-        out[i::8] = np.frombuffer(full[i : i + 8 * len(range(i, n, 8))].tobytes(), ">u8")
-    return out
+        yield mix(hashes[at]), at + low, starts[edge] + low, starts[last] + low
 
 
 def repeated(lead: np.ndarray, data: np.ndarray, place: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Radix passes over the windows at ``place``, by ``lead`` and then by their bytes.
+    """Radix passes over the windows at ``place``, by ``lead`` and then by their bytes, eight a digit.
 
     Says which windows a smaller document holds, and which are their group's smallest document's or alone.
     """
     out, least = np.zeros(len(place), bool), np.ones(len(place), bool)
     if not len(place):
         return out, least
+    offsets = [*range(0, window - 7, 8), window - 8]
+    data = np.ascontiguousarray(data)
+    eight = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
 
     def shared(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Without the groups that hold a single document."""
-        edge = np.flatnonzero(new)
-        own = doc[order]
-        keep = np.repeat(np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge), np.diff(np.append(edge, len(order))))
+        """Without the groups that hold a single document: in those no two neighbours differ."""
+        edge, own = np.flatnonzero(new), doc[order]
+        differs = np.zeros(len(order), bool)
+        differs[1:] = (own[1:] != own[:-1]) & ~new[1:]
+        keep = np.repeat(np.logical_or.reduceat(differs, edge), np.diff(np.append(edge, len(order))))
         return order[keep], new[keep]
 
+    def settle(order: np.ndarray, new: np.ndarray) -> None:
+        """Each group is one window: its smallest document keeps it."""
+        if len(order):
+            own = doc[order]
+            low = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+            out[order] = own > low
+            least[order] = own == low
+
     order = np.argsort(lead)
-    new = np.concatenate([[True], lead[order][1:] != lead[order][:-1]])
-    order, new = shared(order, new)
-    digits = _digits(data) if len(order) else None
-    for at in [*range(0, window - 7, 8), window - 8]:
+    key = lead[order]
+    order, new = shared(order, np.concatenate([[True], key[1:] != key[:-1]]))
+    if not len(order):
+        return out, least
+    at = place[order]
+    differs = np.zeros(len(order) - 1, bool)
+    for offset in offsets:
+        digit = eight[at + offset]
+        differs |= digit[1:] != digit[:-1]
+    differs &= ~new[1:]
+    if not differs.any():
+        settle(order, new)
+        return out, least
+    # Groups whose digits are all alike are in order already; the others are ordered digit by digit.
+    group = np.cumsum(new) - 1
+    several = np.zeros(group[-1] + 1, bool)
+    several[group[1:][differs]] = True
+    several = several[group]
+    settle(order[~several], new[~several])
+    order, new = order[several], new[several]
+    for offset in offsets:
         if not len(order):
-            return out, least
-        digit = digits[place[order] + at]
-        differs = (digit[1:] != digit[:-1]) & ~new[1:]
-        if not differs.any():
-            continue
-        # Only groups with several digits are ordered anew.
-        group = np.cumsum(new) - 1
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[1:][differs]] = True
-        rows = np.flatnonzero(several[group])
-        rank = np.lexsort((digit[rows], group[rows]))
-        order[rows], digit[rows] = order[rows][rank], digit[rows][rank]
+            break
+        digit = eight[place[order] + offset].byteswap()
+        rank = np.lexsort((digit, np.cumsum(new)))
+        order, digit = order[rank], digit[rank]
         new[1:] |= digit[1:] != digit[:-1]
         order, new = shared(order, new)
-    if len(order):
-        edge = np.flatnonzero(new)
-        low = np.minimum.reduceat(doc[order], edge)[np.cumsum(new) - 1]
-        out[order] = doc[order] > low
-        least[order] = doc[order] == low
+    settle(order, new)
     return out, least
 
 
@@ -330,7 +336,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, block_bytes: int = 2 <<
             return empty
         h, anchor, first, last, row = (np.concatenate([x[i] for x in chosen]) for i in range(5))
         place, run = _spread(first, last)
-        gone, least = repeated(mix(h[run] + (place - anchor[run]).view(np.uint64)), data, place, block.ids[row[run]], window)
+        gone, least = repeated(h[run] + (place - anchor[run]).view(np.uint64) * _STEP, data, place, block.ids[row[run]], window)
         rows = []
         number = int(texts.column("part")[0].as_py())
         edge, n = _runs(place[gone], row[run[gone]])
@@ -369,8 +375,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, block_bytes: int = 2 <<
         low, data = _whole(table, "b", np.uint32), _whole(table, "c", np.uint8)
         begin = np.concatenate([[0], np.cumsum(n + window - 1)])[:-1]
         place, run = _spread(begin, begin + n - 1)
-        key = mix(low[run].astype(np.uint64) + mix((place - begin[run] + away[run]).view(np.uint64)))
-        gone, _ = repeated(key, data, place, doc[run], window)
+        key = low.astype(np.uint64) * _SPREAD
+        gone, _ = repeated(key[run] + (place - begin[run] + away[run]).view(np.uint64) * _STEP, data, place, doc[run], window)
         edge, length = _runs(place[gone], run[gone])
         own_run = run[gone][edge]
         begin_at = place[gone][edge] - begin[own_run] + start[own_run]
