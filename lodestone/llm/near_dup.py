@@ -44,7 +44,7 @@ from .textbytes import mix, pieces, shingles, text_bytes, words
 
 _LOW = np.uint64((1 << 48) - 1)
 _PIECE = 512 << 10
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
 _tables: list[np.ndarray] = []
 
 
