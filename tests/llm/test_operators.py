@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -449,6 +450,40 @@ def test_classes_of_words_beyond_the_units(spark):
     assert len(set(of[:, 1])) == len(set(of[:, 3])) == 1 and of[0, 1] != of[0, 3]
 
 
+def test_classes_do_not_depend_on_buckets(spark, docs, monkeypatch):
+    """Buckets of 2 words give the classes that one bucket of all words gives."""
+    rows = docs.select("text").where("text is not null")
+    found = []
+    for bucket_words in (2, 1 << 16):
+        with monkeypatch.context() as m:
+            m.setattr(brown_lm, "_settled", partial(brown_lm._settled, bucket_words=bucket_words))
+            found.append(brown_lm.fit_classes(rows, units=8, classes=4))
+    assert len(found[0].hot) > 20 and all(np.array_equal(getattr(found[0], x), getattr(found[1], x)) for x in ("hot", "hot_count", "hot_class", "shape_class"))
+
+
+def test_neighbour_counts_are_added_as_they_arrive():
+    """Counts of a bucket of 100 MB are added up in a few, and buckets may go on in the next batch."""
+    import tracemalloc
+
+    g = np.random.default_rng(3)
+    want = {b: np.zeros(1000, np.int64) for b in (0, 4)}
+
+    def batches():
+        for i in range(400):
+            b, place, n = [0, 4][i >= 390], g.integers(0, 1000, (50, 512)).astype(np.uint32), g.integers(1, 1 << 40, (50, 512))
+            np.add.at(want[b], place.ravel(), n.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array([b] * 50, pa.int32()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (place, n))], ["bucket", "place", "n"])
+
+    tracemalloc.start()
+    arrow, got = pa.total_allocated_bytes(), {}
+    for b, total in brown_lm.added(batches(), 1000):
+        got[b] = total.copy()
+        assert pa.total_allocated_bytes() - arrow < 5e6
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and got.keys() == want.keys() and all(np.array_equal(got[b], want[b]) for b in want)
+
+
 def test_insertion_is_an_exchange_move():
     """A word's best class is the one that gives the whole table the largest likelihood."""
     f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
