@@ -8,7 +8,8 @@ of its whole texts. Classes are the connected components of verified links.
 
 IDF is 1 + min(1, ln(N / df) / ln(1 / common)): from 1 for a shingle in every
 document to 2 for one in at most a share ``common`` of them, so the weighted
-similarity stays close to the plain one. Only the common shingles need their df,
+similarity stays close to the plain one; in tables of fewer than 1 / ``common``
+documents a shingle of one document is below 2. Only the common shingles need their df,
 and of these there are at most (mean length / common) whatever N is: a shingle
 with df >= common * N is counted at least at 3/4 of that by segments that
 report what reaches a quarter of the share, which gives the candidates; a second
@@ -56,9 +57,9 @@ def bag(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return key[new], np.diff(np.append(new, len(key)))
 
 
-def weights(key: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    shingle, idf = common
-    out = np.full(len(key), 2.0)
+def weights(key: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    shingle, idf, rest = common
+    out = np.full(len(key), rest)
     if len(shingle):
         h = key & _LOW
         at = np.minimum(np.searchsorted(shingle, h), len(shingle) - 1)
@@ -103,8 +104,8 @@ def icws(key: np.ndarray, weight: np.ndarray, rows: int, draws: int) -> tuple[np
     return live, out
 
 
-def common_shingles(docs: DataFrame, *, common: float = 0.02, k: int = 5, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in more than ``common`` of all documents, and their IDF."""
+def common_shingles(docs: DataFrame, *, common: float = 0.02, k: int = 5, text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """The shingles in more than ``common`` of all documents, and in two at least, their IDF, and the IDF of all others."""
     texts = docs.select(F.col(text).alias("text"))
 
     def segments(batches):
@@ -128,14 +129,13 @@ def common_shingles(docs: DataFrame, *, common: float = 0.02, k: int = 5, text:
 
     found = stage(texts.mapInArrow(segments, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "shingles")
     total = found.where("h = -1").first()
-    none = np.zeros(0, np.uint64), np.zeros(0)
-    if total is None:
-        return none
-    total = int(total["n"])
+    total = 1 if total is None else int(total["n"])
+    # The others are in one document, or in so few that the IDF is clipped.
+    rest = 1 + min(1.0, math.log(total) / math.log(1 / common))
     # At most (mean length) / (0.75 common) rows.
     some = np.sort(np.array([r["h"] for r in found.where((F.col("h") >= 0) & (F.col("n") >= max(2.0, 0.75 * common * total))).select("h").collect()], np.int64).view(np.uint64))
     if not len(some):
-        return none
+        return some, np.zeros(0), rest
     shared = docs.sparkSession.sparkContext.broadcast(some)
 
     def count(batches):
@@ -153,10 +153,10 @@ def common_shingles(docs: DataFrame, *, common: float = 0.02, k: int = 5, text:
         df[r["i"]] = r["n"]
     df = np.maximum(df, 1)
     keep = df > common * total
-    return some[keep], 1 + np.minimum(1, np.log(total / df[keep]) / math.log(1 / common))
+    return some[keep], 1 + np.minimum(1, np.log(total / df[keep]) / math.log(1 / common)), rest
 
 
-def sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], *, bands: int, rows: int, k: int) -> DataFrame:
+def sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, float], *, bands: int, rows: int, k: int) -> DataFrame:
     """doc_id, key (of the exact text; null for null or empty), sig and band keys of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -223,7 +223,7 @@ def _near_in_buckets(member: DataFrame, draws: int, least: int) -> DataFrame:
     return ordered.select("bucket", "id", "sig").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _near_in_blocks(state: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], *, threshold: float, k: int, block: int) -> DataFrame:
+def _near_in_blocks(state: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray, float], *, threshold: float, k: int, block: int) -> DataFrame:
     """Links (a, b) that join the components of each bucket of ``state`` (bucket, id, n, component), by exact similarity of all its pairs."""
     shared = state.sparkSession.sparkContext.broadcast(common)
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -266,7 +266,7 @@ def _near_in_blocks(state: DataFrame, texts: DataFrame, common: tuple[np.ndarray
     return rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
 
 
-def similarity(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], *, k: int) -> DataFrame:
+def similarity(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray, float], *, k: int) -> DataFrame:
     """(a, b, j): the exact weighted Jaccard similarity of each pair's whole texts."""
     shared = pairs.sparkSession.sparkContext.broadcast(common)
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
